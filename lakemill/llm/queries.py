@@ -5,17 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakemill.llm import bpe
+from lakemill.llm import bpe, linededup, simhash
 from lakemill.llm.workspace import documents
 
 
+def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(documents(spark, sf_dir), shingle=3, radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(documents(spark, sf_dir))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_decode(documents(spark, sf_dir), bpe.default_vocabulary()))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_simhash_components": op4_simhash_components,
+        "op8_line_dedup": op8_line_dedup,
         "op9_bpe_codec": op9_bpe_codec,
     }
 
