@@ -92,6 +92,8 @@ def line_dedup(docs: DataFrame, spread: int = SPREAD, min_lines: int = MIN_LINES
     gone = repeated_chunks(docs, spread, min_lines, long_words, id_col, text_col)
     by_doc = save(gone.groupBy("id", "th").agg(F.collect_set("pos").alias("__ld_gone")), "removed")
     by_doc = by_doc.select(F.col("id").alias("__ld_id"), F.col("th").alias("__ld_th"), "__ld_gone")
+    # Always the same join: a small input must not flip to a broadcast that a large one can't have.
+    by_doc = by_doc.hint("merge")
     keyed = docs.withColumn("__ld_hash", F.xxhash64(F.col(text_col)))
     joined = keyed.join(by_doc, keyed[id_col].eqNullSafe(by_doc["__ld_id"]) & (keyed["__ld_hash"] == by_doc["__ld_th"]) & keyed[text_col].isNotNull(), "left")
     cut = with_chunks(joined, F.when(F.col("__ld_gone").isNotNull(), F.col(text_col)), spread, min_lines, long_words)
