@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemill.llm import bpe, decontam, langid, linededup, simhash, toxicity
+from lakemill.llm import bpe, decontam, kdshard, langid, linededup, rans, simhash, toxicity
 from lakemill.llm.workspace import documents, fold
 
 
@@ -18,6 +18,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kdshard.kd_shards(documents(spark, sf_dir), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(documents(spark, sf_dir), shingle=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -30,6 +35,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = rans.new_folder(spark)
+    rans.write_tokens(documents(spark, sf_dir), rans.default_vocabulary(), folder, end_id=2)
+    found = rans.read_tokens(spark, folder)
+    return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(documents(spark, sf_dir))
 
@@ -45,8 +57,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
+        "op3_kd_shards": op3_kd_shards,
         "op4_simhash_components": op4_simhash_components,
         "op5_toxicity": op5_toxicity,
+        "op6_token_file": op6_token_file,
         "op8_line_dedup": op8_line_dedup,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_decontamination": op10_decontamination,
