@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemill.llm import bpe, decontam, kdshard, langid, linededup, rans, simhash, toxicity
+from lakemill.llm import bpe, decontam, kdshard, langid, linededup, pq, rans, simhash, toxicity
 from lakemill.llm.workspace import documents, fold
 
 
@@ -42,6 +42,10 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.93)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(documents(spark, sf_dir))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash_components": op4_simhash_components,
         "op5_toxicity": op5_toxicity,
         "op6_token_file": op6_token_file,
+        "op7_near_vectors": op7_near_vectors,
         "op8_line_dedup": op8_line_dedup,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_decontamination": op10_decontamination,
