@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemill.llm import bpe, decontam, kdshard, langid, linededup, pq, rans, simhash, toxicity
+from lakemill.llm import bpe, decontam, kdshard, langid, linededup, lmscore, pq, rans, simhash, toxicity
 from lakemill.llm.workspace import documents, fold
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lmscore.score_texts(documents(spark, sf_dir), fold("doc_id", 5) != 1)
+    return found.withColumn("held_out", fold("doc_id", 5) == 1).withColumn("bits_per_byte", -F.col("score") / F.lit(0.30102999566398120) / F.greatest("n_bytes", F.lit(1)))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.train(docs, fold("doc_id", 4) != 2)
@@ -60,6 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scores": op1_lm_scores,
         "op2_language_id": op2_language_id,
         "op3_kd_shards": op3_kd_shards,
         "op4_simhash_components": op4_simhash_components,
