@@ -42,7 +42,7 @@ SCALE = 20
 LOW = np.uint64(1 << 31)
 BLOCK_IDS = 1 << 18
 MOST_LANES = 1024
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 _HEAD = struct.Struct("<4s7I")
 
 
@@ -155,19 +155,28 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.memo: dict[bytes, bytes] = {}
+        self.marks = {m: np.asarray(self.tokenizer.encode(m.decode(), add_special_tokens=False).ids, "<u4").tobytes() for m in (b",", b".")}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.split() for t in texts]
+        # The vocabulary has lower case only; for ASCII letters that is done here,
+        # unless that could make a special token of ordinary text.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         memo = self.memo
         if len(memo) > REMEMBERED:
             memo.clear()
-        new = [p for p in dict.fromkeys(p for ps in split for p in ps) if p not in memo]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
+        new = [p for p in {p for ps in split for p in ps} if p not in memo]
+        # Letters with one mark behind them are two tokens: the word and the mark.
+        marked = [p for p in new if p[-1:] in self.marks and p[:-1].isalpha()]
+        apart = set(marked)
+        plain = [p for p in {*(p for p in new if p not in apart), *(p[:-1] for p in marked)} if p not in memo]
+        for at in range(0, len(plain), 10_000):
+            part = plain[at : at + 10_000]
             found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
             for p, e in zip(part, found):
                 memo[p] = np.asarray(e.ids, "<u4").tobytes()
+        for p in marked:
+            memo[p] = memo[p[:-1]] + self.marks[p[-1:]]
         return [b"".join(map(memo.__getitem__, ps)) for ps in split]
 
 
