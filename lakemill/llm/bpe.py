@@ -34,7 +34,7 @@ from lakemill.llm.workspace import small_batches, text_bytes
 
 SCAN_LIMIT = 256
 #: Distinct pieces that a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 _NONE = 1 << 30
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -157,7 +157,12 @@ class _Memo(dict):
         self.table = table
 
     def __missing__(self, text: str) -> bytes:
-        out = self[text] = self.table.piece(" " + text)
+        word = text[:-1]
+        if text[-1:] in (",", ".") and word.isascii() and word.isalpha():
+            # Letters with one mark behind them are two tokens: the word and the mark.
+            out = self[text] = self[word] + self.table.piece(text[-1])
+        else:
+            out = self[text] = self.table.piece(" " + text)
         return out
 
 
