@@ -16,6 +16,12 @@ differ only in the positions that its mask drops, so a further covering with
 another map splits it again, as often as it takes.  Half of the free positions
 go at each level, so a last bucket can't hold many distinct fingerprints.
 
+near_duplicates() is the filter for shingle similarity: SimHash only estimates
+angles, so it takes candidates from several independent fingerprints over short
+shingles (an edit changes fewer of those), and a pair counts only if the exact
+Jaccard similarity of the sets of ``verify``-word shingles is ``similarity`` or
+more.  Its recall at a similarity of just 0.8 is in the README.
+
 Copies share a fingerprint and are represented by it in the search; the number
 of documents behind a fingerprint never matters.
 
@@ -72,6 +78,23 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(ones * 2 > len(hashes)).view(">i8")[0])
 
 
+def seeded_fingerprints(text: bytes, shingle: int, seeds: int) -> list[int]:
+    """Independent SimHashes of a text: the hashes are mixed anew for each seed."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return [0] * seeds
+    kinds, times = np.unique(hashes, return_counts=True)
+    ones = np.zeros((seeds, 64))
+    for at in range(0, len(kinds), _CHUNK):
+        part, n = kinds[at : at + _CHUNK], times[at : at + _CHUNK].astype(np.float32)
+        for k in range(seeds):
+            mixed = (part ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            mixed ^= mixed >> np.uint64(32)
+            ones[k] += n @ np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
+    return np.packbits(ones * 2 > len(hashes), axis=1).view(">i8").ravel().tolist()
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) of each row; fp is a signed 64-bit integer."""
     small_batches(docs.sparkSession)
@@ -140,3 +163,66 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_co
     of_linked = labels.join(least, "label").select(F.col("node").alias("fp"), F.col("component_id").alias("wide"))
     classes = reps.join(of_linked, "fp", "left").select("fp", F.coalesce("wide", "least").alias("component_id"))
     return prints.join(save(classes, "membership"), "fp").select(id_col, "fp", "component_id")
+
+
+def jaccard(a: bytes, b: bytes, shingle: int) -> float:
+    """Similarity of the sets of shingles of two texts; two texts without words are alike."""
+    x, y = (np.unique(shingle_hashes(t, shingle)) for t in (a, b))
+    if not len(x) and not len(y):
+        return 1.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def _candidates(prints: DataFrame, seeds: int, radius: int) -> DataFrame:
+    """(a, b) of texts whose fingerprints of one seed are near; node is a text's digest.
+
+    Texts with one fingerprint are linked to the least of them, and near
+    fingerprints by their least texts, so a crowd of texts gives as many
+    candidates as it has members.
+    """
+    found = []
+    for k in range(seeds):
+        of = prints.select("node", F.col("fps")[k].alias("fp"))
+        least = save(of.groupBy("fp").agg(F.min("node").alias("rep")), "least-texts")
+        same = of.join(least, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+        near = near_pairs(least.select("fp"), radius)
+        ends = near.join(least.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(least.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
+        found.append(same.unionAll(ends.select(F.least("u", "v"), F.greatest("u", "v"))))
+    return save(reduce(DataFrame.unionAll, found).distinct(), "candidates")
+
+
+def near_duplicates(docs: DataFrame, verify: int = 5, similarity: float = 0.8, shingle: int = 2, seeds: int = 4, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group of near-duplicates: that of the least id.
+
+    Texts equal in all bytes are one group without any search; distinct texts
+    are linked by verified candidates, and groups are connected components.  Of
+    rows that repeat an id and a text one stays.  All columns are returned.
+    """
+    small_batches(docs.sparkSession)
+    rows = save(docs.withColumn("__sh_row", F.monotonically_increasing_id()).withColumn("__sh_node", F.unhex(F.sha2(text_bytes(text_col), 256))), "rows")
+    texts = rows.select(F.col("__sh_node").alias("node"), text_bytes(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [seeded_fingerprints(t, shingle, seeds) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64()))], names=["node", "fps"])
+
+    prints = texts.mapInArrow(run, "node binary, fps array<long>").groupBy("node").agg(F.first("fps").alias("fps"))
+    pairs = _candidates(save(prints, "fingerprints"), seeds, radius)
+    wanted = save(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    # One text for each digest that is in a candidate pair.
+    held = save(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [jaccard(x, y, verify) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            part = batch.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"])
+
+    sides = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    labels = components(sides.select("a", "b", "ta", "tb").mapInArrow(judge, "a binary, b binary"))
+    slim = rows.select("__sh_row", F.col(id_col).alias("id"), F.col("__sh_node").alias("node")).join(labels, "node", "left")
+    first = slim.groupBy(F.coalesce("label", "node").alias("group")).agg(F.min(F.struct("id", "__sh_row")).alias("best"))
+    best = save(first.select(F.col("best.__sh_row").alias("__sh_row")), "best")
+    return rows.join(best, "__sh_row", "left_semi").drop("__sh_row", "__sh_node")
