@@ -25,10 +25,12 @@ without blocks.
 
 from __future__ import annotations
 
+import string
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,9 @@ LOW = np.uint64(1 << 31)
 BLOCK_IDS = 1 << 18
 MOST_LANES = 1024
 REMEMBERED = 1_000_000
+#: New words that are encoded as one text.
+TOGETHER = 500
+_MARKS = string.punctuation.encode()
 _HEAD = struct.Struct("<4s7I")
 
 
@@ -147,37 +152,79 @@ class PieceEncoder:
 
     This vocabulary's pre-tokenizer drops white space and never looks across
     it, so a text's ids are those of its pieces; each distinct piece is encoded
-    once per worker.
+    once per worker.  A word with marks before or behind it is three tokens of
+    the pre-tokenizer: marks, word, marks.  New words are encoded many at a
+    time, as one text, and told apart by the word-end mark of their last id.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.memo: dict[bytes, bytes] = {}
-        self.marks = {m: np.asarray(self.tokenizer.encode(m.decode(), add_special_tokens=False).ids, "<u4").tobytes() for m in (b",", b".")}
+        self.memo: dict[bytes, bytes] = {b"": b""}
+        self.marks: dict[bytes, bytes] = {b"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _ids(self, text: bytes) -> bytes:
+        return np.asarray(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _mark(self, run: bytes) -> bytes:
+        if len(self.marks) > REMEMBERED:
+            self.marks = {b"": b""}
+        if run not in self.marks:
+            self.marks[run] = self._ids(run)
+        return self.marks[run]
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Remember the ids of new pieces."""
+        memo, apart, single = self.memo, [], []
+        for p in new:
+            word = p.strip(_MARKS)
+            at = p.find(word)
+            # A quote before letters may be a contraction, and <| a special token.
+            if word and (word.isalpha() or _plain_word(word)) and b"<|" not in p and b"'" not in p[:at]:
+                apart.append((p, at, word))
+            else:
+                single.append(p)
+        words = list({w for _, _, w in apart if w not in memo})
+        runs = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        found = self.tokenizer.encode_batch_fast([b" ".join(r).decode() for r in runs], add_special_tokens=False)
+        for run, e in zip(runs, found):
+            ids = np.asarray(e.ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) == len(run):
+                raw, begin = ids.tobytes(), 0
+                for w, stop in zip(run, stops.tolist()):
+                    memo[w] = raw[begin:stop]
+                    begin = stop
+            else:
+                # Normalising has cut some word in two.
+                for w in run:
+                    memo[w] = self._ids(w)
+        for p, at, word in apart:
+            if len(p) > len(word):
+                memo[p] = self._mark(p[:at]) + memo[word] + self._mark(p[at + len(word) :])
+        for p in single:
+            memo[p] = self._ids(p)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         # The vocabulary has lower case only; for ASCII letters that is done here,
         # unless that could make a special token of ordinary text.
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        memo = self.memo
-        if len(memo) > REMEMBERED:
-            memo.clear()
-        new = [p for p in {p for ps in split for p in ps} if p not in memo]
-        # Letters with one mark behind them are two tokens: the word and the mark.
-        marked = [p for p in new if p[-1:] in self.marks and p[:-1].isalpha()]
-        apart = set(marked)
-        plain = [p for p in {*(p for p in new if p not in apart), *(p[:-1] for p in marked)} if p not in memo]
-        for at in range(0, len(plain), 10_000):
-            part = plain[at : at + 10_000]
-            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
-            for p, e in zip(part, found):
-                memo[p] = np.asarray(e.ids, "<u4").tobytes()
-        for p in marked:
-            memo[p] = memo[p[:-1]] + self.marks[p[-1:]]
-        return [b"".join(map(memo.__getitem__, ps)) for ps in split]
+        if len(self.memo) > REMEMBERED:
+            self.memo = {b"": b""}
+        self._learn(set(chain.from_iterable(split)).difference(self.memo))
+        look = self.memo.__getitem__
+        return [b"".join(map(look, ps)) for ps in split]
+
+
+def _plain_word(word: bytes) -> bool:
+    """Letters, in lower case too, of the scripts up to Cyrillic: letters by any version of Unicode."""
+    text = word.decode("utf-8", "replace")
+    return text.isalpha() and max(text) < "\u0530" and text.lower().isalpha()
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -220,10 +267,10 @@ def _part_sums(rows: DataFrame, vocabulary: int) -> tuple[np.ndarray, dict[int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, parts = np.zeros(vocabulary, np.int64), {}
         for batch in batches:
-            for part, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.frombuffer(ids, "<u4")
-                counts += np.bincount(found, minlength=vocabulary)
-                parts[part] = parts.get(part, 0) + len(found)
+            blobs = batch.column(1).to_pylist()
+            counts += np.bincount(np.frombuffer(b"".join(blobs), "<u4"), minlength=vocabulary)
+            for part, ids in zip(batch.column(0).to_pylist(), blobs):
+                parts[part] = parts.get(part, 0) + len(ids) // 4
         some = np.flatnonzero(counts)
         keys = [*some.tolist(), *(-1 - p for p in parts)]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([*counts[some].tolist(), *parts.values()], pa.int64())], names=["key", "n"])
