@@ -30,7 +30,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -171,8 +170,6 @@ class PieceEncoder:
         return np.asarray(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _mark(self, run: bytes) -> bytes:
-        if len(self.marks) > REMEMBERED:
-            self.marks = {b"": b""}
         if run not in self.marks:
             self.marks[run] = self._ids(run)
         return self.marks[run]
@@ -203,9 +200,11 @@ class PieceEncoder:
                 # Normalising has cut some word in two.
                 for w in run:
                     memo[w] = self._ids(w)
+        get, mark = self.marks.get, self._mark
         for p, at, word in apart:
             if len(p) > len(word):
-                memo[p] = self._mark(p[:at]) + memo[word] + self._mark(p[at + len(word) :])
+                before, behind = p[:at], p[at + len(word) :]
+                memo[p] = (get(before) or mark(before)) + memo[word] + (get(behind) or mark(behind))
         for p in single:
             memo[p] = self._ids(p)
 
@@ -214,11 +213,16 @@ class PieceEncoder:
         # The vocabulary has lower case only; for ASCII letters that is done here,
         # unless that could make a special token of ordinary text.
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.memo) > REMEMBERED:
-            self.memo = {b"": b""}
-        self._learn(set(chain.from_iterable(split)).difference(self.memo))
-        look = self.memo.__getitem__
-        return [b"".join(map(look, ps)) for ps in split]
+        if len(self.memo) > REMEMBERED or len(self.marks) > REMEMBERED:
+            self.memo, self.marks = {b"": b""}, {b"": b""}
+        # Most pieces are known: each is looked up once, and only the others again.
+        found = [list(map(self.memo.get, ps)) for ps in split]
+        gaps = [[k for k, v in enumerate(vs) if v is None] if None in vs else () for vs in found]
+        self._learn({ps[k] for ps, at in zip(split, gaps) for k in at})
+        for ps, vs, at in zip(split, found, gaps):
+            for k in at:
+                vs[k] = self.memo[ps[k]]
+        return [b"".join(vs) for vs in found]
 
 
 def _plain_word(word: bytes) -> bool:
