@@ -1,8 +1,8 @@
 """Removal of repeated chunks of lines (operator 8); DataFrame functions only.
 
-A text is split into lines, each line is hashed, and a rolling hash over the
-hashes of each line and the one before it chooses where chunks start: where it
-is 0 modulo ``spread``.  Only the lines near by decide, so an insertion or
+A text is split into lines, each line is hashed (MD5), and a rolling hash over
+the hashes of each line and the one before it chooses where chunks start: where
+it is in the lowest ``spread``-th of its range.  Only the lines near by decide, so an insertion or
 deletion elsewhere in a text doesn't shift the boundaries.  A line of more than
 ``long_words`` words always is a chunk of its own, as boilerplate often is one
 long line.  A chunk counts if it holds ``min_lines`` lines, or one long line.
@@ -51,10 +51,11 @@ def _column(docs: DataFrame, name: str, value: Column) -> DataFrame:
 def with_chunks(docs: DataFrame, text: Column, spread: int, min_lines: int, long_words: int) -> DataFrame:
     """Add an array of chunks: struct(text, counts); null for a null text."""
     lines, marks, starts = F.col(_LINES), F.col("__ld_marks"), F.col("__ld_starts")
+    below = F.lit(f"{(1 << 32) // spread:08x}")
     cut = _column(docs, _LINES, F.split(text, "\n", -1))
-    cut = _column(cut, "__ld_marks", F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), _is_long(x, long_words).alias("long"))))
+    cut = _column(cut, "__ld_marks", F.transform(lines, lambda x: F.struct(F.md5(x).alias("h"), _is_long(x, long_words).alias("long"))))
     at = lambda i: F.element_at(marks, i)
-    begins = lambda i: at(i)["long"] | at(i - 1)["long"] | (F.pmod(F.xxhash64(at(i - 1)["h"], at(i)["h"]), F.lit(spread)) == 0)
+    begins = lambda i: at(i)["long"] | at(i - 1)["long"] | (F.md5(F.concat(at(i - 1)["h"], at(i)["h"])) < below)
     # Each start, and one past the last line as an end.
     cut = _column(cut, "__ld_starts", F.filter(F.sequence(F.lit(1), F.size(lines) + 1), lambda i: F.when((i == 1) | (i > F.size(lines)), F.lit(True)).otherwise(begins(i))))
     span = lambda k: F.element_at(starts, k + 1) - F.element_at(starts, k)
@@ -102,3 +103,30 @@ def line_dedup(docs: DataFrame, spread: int = SPREAD, min_lines: int = MIN_LINES
     out = cut.withColumn("__ld_text", new)
     kept = [F.col("__ld_text").alias(c) if c == text_col else F.length("__ld_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*kept)
+
+
+def duckdb_sql(spread: int = SPREAD, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> str:
+    """The same in DuckDB's SQL, for tables of unique ids."""
+    return f"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line
+  FROM documents WHERE text IS NOT NULL
+), hashed AS (
+  SELECT *, md5(line) AS h,
+    length(line) > {2 * long_words} AND length(line) - length(replace(line, ' ', '')) >= {long_words} AS long
+  FROM lines
+), begun AS (
+  SELECT *, CASE WHEN i = 1 OR long OR lag(long) OVER w OR md5(lag(h) OVER w || h) < '{(1 << 32) // spread:08x}' THEN 1 ELSE 0 END AS b
+  FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (
+  SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM begun
+), chunks AS (
+  SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) >= {min_lines} OR bool_or(long) AS counts
+  FROM numbered GROUP BY doc_id, c
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY counts, chunk ORDER BY doc_id, c) AS nth FROM chunks
+), left_over AS (
+  SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY c) FILTER (WHERE NOT counts OR nth = 1), '') AS text FROM placed GROUP BY doc_id
+)
+SELECT d.doc_id, l.text, d.lang, d.source, length(l.text)::BIGINT AS n_chars FROM documents d LEFT JOIN left_over l USING (doc_id)
+"""

@@ -79,4 +79,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can express; the other queries are tested against brute force in tests/llm."""
+    return {"op7_near_vectors": pq.duckdb_sql(), "op8_line_dedup": linededup.duckdb_sql()}
