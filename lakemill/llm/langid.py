@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.workspace import small_batches
+from lakemill.llm.workspace import least_hashes, small_batches
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -155,7 +155,8 @@ def train(docs: DataFrame, usable: Column, settings: Settings | None = None, id_
     # Only an evenly spread part of a very long text is sent: at most 40 stretches.
     n = F.length("t")
     spread = F.when(n <= 20_000, F.col("t")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.substring("t", (k * n / 40).cast("int") + 1, F.lit(400))), " "))
-    picked = rows.select(spread.alias("t"), "l", F.xxhash64("i", F.col("t")).alias("h")).orderBy("h").limit(s.sample_rows).collect()
+    picked = least_hashes(rows.select(spread.alias("t"), "l", "i"), F.xxhash64("i"), s.sample_rows, rows.select("l").count())
+    picked = picked.select("t", "l", F.xxhash64("i", "t").alias("h")).orderBy("h", "t", "l").collect()
     return fit([r.t for r in picked], [r.l for r in picked], s)
 
 
