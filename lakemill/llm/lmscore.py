@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.workspace import save, small_batches, text_bytes, words
+from lakemill.llm.workspace import least_hashes, save, small_batches, text_bytes, words
 
 END_TOKEN = b"\n"
 HEAD = 1 << 18
@@ -437,14 +437,15 @@ def score_texts(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_co
     """(id, n_bytes, n_tokens, n_known, train_tokens, base_score, score) of each row."""
     spark = docs.sparkSession
     small_batches(spark)
-    train = docs.where(usable).select(text_bytes(text_col).alias("text"))
+    keyed = docs.where(usable).select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
+    train = keyed.select("text")
     counts = token_counts(train)
     r = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("token") == F.lit(END_TOKEN), F.col("c"))).alias("ends")).first()
     total, distinct, ends = r.n or 0, r.v or 0, r.ends or 0
     head, head_counts = head_tokens(counts)
     coder = Coder(head, head_counts, total, ends)
     zeros, ones = context_counts(train, spark.sparkContext.broadcast(coder))
-    sample = train.where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("text")).limit(SAMPLE_TEXTS).collect()
+    sample = least_hashes(keyed.where(F.octet_length("text") <= SAMPLE_BYTES), F.xxhash64("id"), SAMPLE_TEXTS, ends).orderBy(F.xxhash64("id", "text")).collect()
     model = tune(coder, zeros, ones, [bytes(r.text) for r in sample])
     sent = spark.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -45,7 +45,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakemill.llm.components import components
-from lakemill.llm.workspace import save
+from lakemill.llm.workspace import least_hashes, save
 
 COSINE = 0.93
 SUBSPACES = 8
@@ -189,7 +189,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     # The sample is bounded; it only shapes the lists and codes.
     indexes = {}
     for dim in dims:
-        sample = [unit(bytes(r.unit)) for r in reps.where(F.col("dim") == dim).select("unit", "rep").orderBy("rep").limit(SAMPLE).collect()]
+        of = reps.where(F.col("dim") == dim)
+        sample = [unit(bytes(r.unit)) for r in least_hashes(of.select("unit", "rep"), F.col("rep"), SAMPLE, of.count()).collect()]
         indexes[dim] = Index(np.stack(sample), min(MOST_LISTS, total // LIST_ROWS + 1), SUBSPACES)
     index_sent = spark.sparkContext.broadcast(indexes)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.workspace import small_batches
+from lakemill.llm.workspace import least_hashes, save, small_batches
 
 _SPACES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 STRETCH = 1 << 20
@@ -123,7 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, settings: Settings
     marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
     rows = docs.where(usable).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.length("t") <= s.train_chars)
     # The sample is chosen by ids alone, so that few texts are moved.
-    chosen = marked.join(rows.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id", "y").limit(s.sample_rows)
+    held = save(marked.join(rows.select("id"), "id", "left_semi"), "labelled")
+    chosen = least_hashes(held, F.xxhash64("id"), s.sample_rows, held.count())
     picked = rows.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "y", "t").limit(s.sample_rows).collect()
     return fit([r.t for r in picked], [int(r.y) for r in picked], s)
 
