@@ -17,7 +17,7 @@ def _col(x) -> Column:
 
 def micros(x) -> Column:
     """Microseconds since 1970-01-01."""
-    return F.unix_micros(_col(x).cast("timestamp"))
+    return F.unix_micros(_col(x).cast("timestamp_ltz"))
 
 
 def modified(x, *modifiers: str) -> Column:

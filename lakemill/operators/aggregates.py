@@ -48,12 +48,11 @@ def percentile_cont(x, share: float, descending: bool = False) -> Column:
     return F.percentile(_col(x).cast("double"), 1 - share if descending else share)
 
 
-def percentile_disc(x, share: float, kind: str) -> Column:
-    """The value at place ceil(n * share), as the input type."""
+def percentile_disc(x: str, share: float, kind: str) -> Column:
+    """The value of column x at place ceil(n * share), as the input type; counts per value are merged, not values."""
     if not 0 <= share <= 1:
         raise ValueError("the share is from 0 to 1")
-    values = F.array_sort(F.collect_list(_col(x)))
-    return F.try_element_at(values, F.greatest(F.ceil(F.size(values) * share), F.lit(1)).cast("int")).cast(kind)
+    return F.expr(f"percentile_disc({share}D) WITHIN GROUP (ORDER BY `{x}`)").cast(kind)
 
 
 def count_distinct_over(x, window) -> Column:

@@ -121,8 +121,7 @@ def contains(wkt: str, x, y) -> Column:
     return F.when(box, inside(_col(x).cast("double"), _col(y).cast("double"))).otherwise(F.when(box.isNotNull(), F.lit(False)))
 
 
-@F.pandas_udf("double")
-def st_area(wkt: pd.Series) -> pd.Series:
+def _areas(wkt: pd.Series) -> pd.Series:
     """Planar area of polygons: shell without holes."""
 
     def one(text):
@@ -134,7 +133,16 @@ def st_area(wkt: pd.Series) -> pd.Series:
     return wkt.map(one)
 
 
-@F.pandas_udf("double")
-def st_length(wkt: pd.Series) -> pd.Series:
+def _lengths(wkt: pd.Series) -> pd.Series:
     """Planar length of line strings."""
     return wkt.map(lambda t: None if t is None else float(np.hypot(*np.diff(np.array(parse_wkt(t)[1], float)[:, :2], axis=0).T).sum()))
+
+
+def st_area(wkt) -> Column:
+    """Planar area of each polygon: the shell without its holes."""
+    return F.pandas_udf(_areas, "double")(_col(wkt))
+
+
+def st_length(wkt) -> Column:
+    """Planar length of each line."""
+    return F.pandas_udf(_lengths, "double")(_col(wkt))

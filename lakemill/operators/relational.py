@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakemill.session import checkpoint_dir
+
 RECURSION_LIMIT = 1000
 
 
@@ -24,6 +26,7 @@ def recursive_union(start: DataFrame, step: Callable[[DataFrame], DataFrame], di
     all rows count (UNION ALL).  Each round is a checkpoint, so lineage stays
     short and a lost executor costs no more than the round's files.
     """
+    checkpoint_dir(start.sparkSession)
     frontier = (start.distinct() if distinct else start).checkpoint()
     seen, rounds = frontier, 0
     while not frontier.isEmpty():

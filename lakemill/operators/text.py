@@ -24,6 +24,14 @@ def tokens(text, diacritics: bool = False, stopwords: bool = False) -> Column:
     return F.filter(found, lambda t: ~t.isin(*STOPWORDS)) if stopwords else found
 
 
+def _starts(prefix: str):
+    return lambda t: t.startswith(prefix)
+
+
+def _equals(term: str):
+    return lambda t: t == term
+
+
 @dataclass
 class Query:
     """Alternatives (OR) of terms, phrases, prefixes and exclusions (AND)."""
@@ -62,7 +70,7 @@ class Query:
         out = []
         for c in self.clauses:
             parts = [F.array_contains(found, t) for t in c["terms"]] + [phrase(p) for p in c["phrases"]]
-            parts += [F.exists(found, lambda t, x=x: t.startswith(x)) for x in c["prefixes"]]
+            parts += [F.exists(found, _starts(x)) for x in c["prefixes"]]
             parts += [~phrase(p) for p in c["not"]]
             out.append(reduce(lambda a, b: a & b, parts))
         return reduce(lambda a, b: a | b, out) if out else F.lit(False)
@@ -81,7 +89,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
     q = Query.parse(query)
     terms = q.terms()
     counted = docs.select(F.col(id_col), tokens(text_col).alias("t")).select(
-        id_col, F.size("t").cast("double").alias("len"), q.matches(F.col("t")).alias("hit"), *[F.size(F.filter("t", lambda x, t=t: x == t)).cast("double").alias(f"tf{k}") for k, t in enumerate(terms)]
+        id_col, F.size("t").cast("double").alias("len"), q.matches(F.col("t")).alias("hit"), *[F.size(F.filter("t", _equals(t))).cast("double").alias(f"tf{k}") for k, t in enumerate(terms)]
     )
     sums = counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("mean"), *[F.sum((F.col(f"tf{k}") > 0).cast("double")).alias(f"df{k}") for k in range(len(terms))])
     score = F.lit(0.0)

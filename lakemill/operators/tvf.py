@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +60,6 @@ def walk(v, key: str | None = None, path: str = "$") -> Iterator[tuple[str | Non
 
 
 def _walk(df: DataFrame, column: str, keep: tuple[str, ...], deep: bool) -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("array<struct<key:string,value:string,type:string,path:string>>")
     def items(texts: pd.Series) -> pd.Series:
         def one(text):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -23,6 +25,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Let checkpoint() use the shared folder of spark.checkpoint.dir; a private one only where that is unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakemill-"))
+
+
 def session(app: str = "lakemill", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:

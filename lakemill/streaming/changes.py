@@ -63,9 +63,9 @@ def conflicting_keys(changes: DataFrame, keys: Sequence[str], origin: str) -> Da
     return changes.groupBy(*keys).agg(F.count_distinct(origin).alias("origins")).where("origins > 1")
 
 
-def change_stream(spark: SparkSession, folder: str, schema: str, where: Column | None = None, files_per_batch: int = 64) -> DataFrame:
-    """A stream of change rows from Parquet files as they land; where is the watched range."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def change_stream(spark: SparkSession, folder: str, schema: str, where: Column | None = None, files_per_batch: int = 64, names: str = "*") -> DataFrame:
+    """A stream of change rows from Parquet files (of names that match) as they land; where is the watched range."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", names).parquet(folder)
     return stream if where is None else stream.where(where)
 
 
