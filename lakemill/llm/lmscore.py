@@ -9,7 +9,8 @@ of the text is the product of the probabilities of these bits:
   three contexts: the tree node; a hash of node and previous word; a hash of
   node and the two previous words.
 * Any other word follows the path of an escape, and its bytes and a final space
-  are spelt bit by bit, predicted from hashes of one, two and three bytes before.
+  are spelt, each by its path in a Huffman tree of bytes, predicted from hashes
+  of the node with one, two and three bytes before.
 
 Training: executors count zeros and ones in every context slot over all training
 texts; the counts are summed chunk by chunk in two levels (salted, then whole),
@@ -39,6 +40,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,14 +55,16 @@ CODED = 1 << 16
 CODED_COUNT = 3
 #: A longer token isn't kept in the broadcast head, which bounds its bytes.
 HEAD_BYTES = 64
-BLOCK = 32
+BLOCK = 64
 SAMPLE_TEXTS, SAMPLE_BYTES = 400, 16_000
 #: log2 of the slots of: node; previous word; two words; one, two and three bytes.
 SLOTS = (17, 20, 22, 16, 20, 20)
 CHUNK = 1 << 14
 LANE_TOKENS = 60_000
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 FLUSH = 400_000
+#: Context slots that are gathered before they are sorted and counted.
+GATHERED = 1 << 21
 SALTS = 16
 
 _STARTS = np.cumsum([0, *(1 << s for s in SLOTS)])
@@ -112,11 +116,13 @@ class Coder:
         known = counts[: self.coded]
         weights = np.concatenate([known, [max(1, total - ends - int(known.sum())), max(1, ends)]])
         self.start, self.length, self.node, self.bit = huffman(weights)
+        # Bytes by how often they occur in the distinct words that are spelt.
+        line = np.frombuffer(b" ".join([*head[self.coded :], b""]), np.uint8)
+        self.byte_start, self.byte_length, self.byte_node, self.byte_bit = huffman(np.bincount(line, minlength=256) * 4 + 1)
 
     def symbols(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(place in the head or -1, symbol) of each token; the symbols have the end."""
-        get = self.index.get
-        place = np.fromiter((get(t, -1) for t in tokens), np.int64, len(tokens))
+        place = np.array(list(map(self.index.get, tokens, repeat(-1))), np.int64)
         symbol = np.where((place >= 0) & (place < self.coded), place, self.escape)
         return place, np.append(symbol, self.end)
 
@@ -130,24 +136,23 @@ class Coder:
         b = a * np.uint32(0x01000193) + two.astype(np.uint32) * np.uint32(0x27D4EB2F)
         return token, self.bit[flat], [node, _hash(a[token], node, SLOTS[1]), _hash(b[token], node, SLOTS[2])]
 
-
-def spelling(tail: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(word, bit, slots in the three byte tables) of each bit of some spelt words."""
-    line = np.frombuffer(b"".join(b"\0\0\0" + t + b" " for t in tail), np.uint8).astype(np.uint32)
-    size = np.array([len(t) + 4 for t in tail])
-    begin = np.cumsum(size) - size
-    at = np.arange(len(line))
-    word = np.repeat(np.arange(len(tail)), size)
-    at = at[at - begin[word] >= 3]
-    byte, word = line[at], word[at]
-    one, two, three = line[at - 1], line[at - 1] | line[at - 2] << 8, line[at - 1] | line[at - 2] << 8 | line[at - 3] << 16
-    k = np.arange(8, dtype=np.uint32)
-    bit = (byte[:, None] >> (7 - k) & 1).astype(np.uint8)
-    node = (np.uint32(1) << k | byte[:, None] >> (8 - k)).astype(np.uint32)
-    flat = node.ravel()
-    wide = lambda c: np.repeat(c, 8)
-    slots = [wide(one) << np.uint32(8) | flat, _hash(wide(two) + np.uint32(0x10001), flat, SLOTS[4]), _hash(wide(three) + np.uint32(0x2000003), flat, SLOTS[5])]
-    return np.repeat(word, 8), bit.ravel(), slots
+    def spelling(self, tail: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(word, bit, slots in the three byte tables) of each bit of some spelt words."""
+        line = np.frombuffer(b"".join([b"\0\0\0" + t + b" " for t in tail]), np.uint8)
+        size = np.array([len(t) + 4 for t in tail])
+        begin = np.cumsum(size) - size
+        at = np.arange(len(line))
+        word = np.repeat(np.arange(len(tail)), size)
+        at = at[at - begin[word] >= 3]
+        byte, word = line[at], word[at]
+        one, two, three = (line[at - k].astype(np.uint32) for k in (1, 2, 3))
+        length = self.byte_length[byte]
+        each = np.repeat(np.arange(len(byte)), length)
+        flat = np.arange(len(each)) - np.repeat(np.cumsum(length) - length - self.byte_start[byte], length)
+        node = self.byte_node[flat]
+        pair = one | two << np.uint32(8)
+        slots = [one[each] << np.uint32(8) | node, _hash((pair + np.uint32(0x10001))[each], node, SLOTS[4]), _hash(((pair | three << np.uint32(16)) + np.uint32(0x2000003))[each], node, SLOTS[5])]
+        return word[each], self.byte_bit[flat], slots
 
 
 def _contexts(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,31 +163,57 @@ def _contexts(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Tables:
-    """Logits and confidence (0 to 3) of every slot."""
+    """Of every slot the logit, in steps of 1/256, and the confidence (0 to 3) as the low two bits."""
 
-    logit: np.ndarray
-    seen: np.ndarray
+    packed: np.ndarray
 
     @staticmethod
     def of(zeros: np.ndarray, ones: np.ndarray) -> Tables:
-        n = zeros + ones
-        return Tables(np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32), np.digitize(n, [1, 3, 12]).astype(np.uint8))
+        logit = np.log((ones + 0.4) / (zeros + 0.4))
+        steps = (np.rint(logit * 256) + 8192).astype(np.uint16)
+        return Tables(steps << np.uint16(2) | np.digitize(zeros + ones, [1, 3, 12]).astype(np.uint16))
 
     def inputs(self, slots: list[np.ndarray], first: int) -> tuple[np.ndarray, np.ndarray]:
         """(logits with a constant, gate) of each bit, for the three tables from first."""
-        where = [s.astype(np.int64) + _STARTS[first + k] for k, s in enumerate(slots)]
-        x = np.empty((len(slots[0]), 4), np.float32)
-        for k, w in enumerate(where):
-            x[:, k] = self.logit[w]
-        x[:, 3] = 0.3
-        return x, self.seen[where[1]].astype(np.int64) * 4 + self.seen[where[2]]
+        x = np.empty((4, len(slots[0])), np.float32)
+        seen = []
+        for k, s in enumerate(slots):
+            found = self.packed.take(s.astype(np.int64) + _STARTS[first + k])
+            np.multiply(found >> np.uint16(2), np.float32(1 / 256), out=x[k], casting="unsafe")
+            x[k] -= np.float32(32)
+            seen.append(found & np.uint16(3))
+        x[3] = 0.3
+        return x, seen[1].astype(np.int64) * 4 + seen[2]
+
+
+class SlotCounts:
+    """Zeros and ones of the slots: slots are gathered, sorted and then added run by run."""
+
+    def __init__(self) -> None:
+        self.sums = np.zeros(2 * int(_STARTS[-1]), np.uint32)
+        self.held: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, bit: np.ndarray, slots: list[np.ndarray], first: int) -> None:
+        for k, s in enumerate(slots):
+            self.held.append(((s + np.uint32(_STARTS[first + k])) << np.uint32(1) | bit).astype(np.uint32))
+            self.n += len(s)
+        if self.n > GATHERED:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.n:
+            found = np.sort(np.concatenate(self.held))
+            ends = np.flatnonzero(np.append(found[1:] != found[:-1], True))
+            self.sums[found[ends]] += np.diff(ends, prepend=-1).astype(np.uint32)
+            self.held, self.n = [], 0
 
 
 @dataclass
 class Mixer:
     """Weights and adaptive probability map of 16 gates."""
 
-    weight: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.4, 0.35, 0.35, 0], np.float32), (16, 1)))
+    weight: np.ndarray = field(default_factory=lambda: np.repeat(np.array([[0.4], [0.35], [0.35], [0]], np.float32), 16, axis=1))
     refine: np.ndarray = field(default_factory=lambda: np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, _BINS + 1))), (16, 1)).astype(np.float32))
 
 
@@ -190,31 +221,37 @@ class Lanes:
     """Mixers of some texts that are scored side by side."""
 
     def __init__(self, start: Mixer, lanes: int) -> None:
-        self.weight = np.tile(start.weight, (lanes, 1))
+        self.weight = np.tile(start.weight, (1, lanes))
         self.refine = np.tile(start.refine, (lanes, 1))
 
     def step(self, lane: np.ndarray, gate: np.ndarray, x: np.ndarray, bit: np.ndarray, rate: float, learn: bool = True) -> np.ndarray:
         """log2 probability of each bit; then learn from them."""
         at = lane * 16 + gate
-        z = np.clip(np.einsum("ij,ij->i", x, self.weight[at]), -7.99, 7.99)
+        z = self.weight[0].take(at) * x[0]
+        for k in range(1, 4):
+            z += self.weight[k].take(at) * x[k]
+        np.clip(z, -7.99, 7.99, out=z)
         p = 1 / (1 + np.exp(-z))
-        place = (z + 8) * (_BINS / 16)
-        low = place.astype(np.int64)
+        place = (z + np.float32(8)) * np.float32(_BINS / 16)
+        low = np.floor(place)
         share = place - low
-        cell = at * (_BINS + 1) + low
-        flat = self.refine.reshape(-1)
-        q = flat[cell] * (1 - share) + flat[cell + 1] * share
-        mixed = np.clip(0.5 * (p + q), 1e-5, 1 - 1e-5)
-        out = np.log2(np.where(bit == 1, mixed, 1 - mixed))
+        cell = at * (_BINS + 1) + low.astype(np.int64)
+        flat, real = self.refine.reshape(-1), bit.astype(np.float32)
+        q = flat.take(cell)
+        q += (flat.take(cell + 1) - q) * share
+        # The mean of both, as the probability of the bit that came.
+        mixed = np.abs(np.float32(1) - real - np.float32(0.5) * (p + q))
+        out = np.log2(np.clip(mixed, 1e-5, 1 - 1e-5))
         if learn:
-            err = bit - p
+            err = (real - p) * np.float32(rate)
             for k in range(4):
-                self.weight[:, k] += rate * np.bincount(at, err * x[:, k], len(self.weight))
+                self.weight[k] += np.bincount(at, err * x[k], self.weight.shape[1])
             near = cell + (share > 0.5)
             n = np.bincount(near, minlength=flat.size)
             some = np.flatnonzero(n)
-            mean = np.bincount(near, bit, flat.size)[some] / n[some]
-            flat[some] += (1 - 0.985 ** n[some]) * (mean - flat[some])
+            count = n[some]
+            mean = np.bincount(near, real, flat.size)[some] / count
+            flat[some] += (1 - 0.985**count) * (mean - flat[some])
         return out
 
 
@@ -236,7 +273,7 @@ class Model:
             size += len(t) + 1
             if size > 60_000 or k == len(new) - 1:
                 part = new[at : k + 1]
-                word, bit, slots = spelling(part)
+                word, bit, slots = self.coder.spelling(part)
                 x, gate = self.tables.inputs(slots, 3)
                 cost = Lanes(self.spelling, 1).step(np.zeros(len(bit), np.int64), gate, x, bit, 0, learn=False)
                 self.memo.update(zip(part, np.bincount(word, cost, len(part)).tolist()))
@@ -292,7 +329,7 @@ def tune(coder: Coder, zeros: np.ndarray, ones: np.ndarray, texts: list[bytes])
                 tail = list({t for t, s in zip(tokens, symbol) if s == coder.escape})
                 if not tail:
                     continue
-                token, bit, slots = spelling(tail)
+                token, bit, slots = coder.spelling(tail)
             x, gate = model.tables.inputs(slots, first)
             seen = []
             for j, slot in enumerate(slots):
@@ -301,13 +338,13 @@ def tune(coder: Coder, zeros: np.ndarray, ones: np.ndarray, texts: list[bytes])
                 own1 = np.bincount(inv, bit)
                 own0 = np.bincount(inv) - own1
                 o1, o0 = np.maximum(ones[u] - own1, 0), np.maximum(zeros[u] - own0, 0)
-                x[:, j] = np.log((o1 + 0.4) / (o0 + 0.4))[inv]
+                x[j] = np.log((o1 + 0.4) / (o0 + 0.4))[inv]
                 seen.append(np.digitize(o0 + o1, [1, 3, 12])[inv])
             gate = seen[1] * 4 + seen[2]
             step = 320 if first == 0 else 512
             rate = 0.02 / (1 + k / 40) + 0.002
             for a in range(0, len(bit), step):
-                lanes.step(np.zeros(len(bit[a : a + step]), np.int64), gate[a : a + step], x[a : a + step], bit[a : a + step], rate)
+                lanes.step(np.zeros(len(bit[a : a + step]), np.int64), gate[a : a + step], x[:, a : a + step], bit[a : a + step], rate)
         mixer.weight, mixer.refine = lanes.weight, lanes.refine
     del n
     return model
@@ -360,13 +397,7 @@ def context_counts(train: DataFrame, coder_sent) -> tuple[np.ndarray, np.ndarray
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_sent.value
-        sums, spelt, any_ = np.zeros((2, size), np.uint32), set(), False
-
-        def add(bit: np.ndarray, slots: list[np.ndarray], first: int) -> None:
-            for k, s in enumerate(slots):
-                where = s.astype(np.int64) + _STARTS[first + k]
-                np.add.at(sums[1], where[bit == 1], 1)
-                np.add.at(sums[0], where[bit == 0], 1)
+        counts, symbols, spelt, any_ = SlotCounts(), np.zeros(len(coder.length), np.int64), set(), False
 
         def spell() -> None:
             part: list[bytes] = []
@@ -375,10 +406,10 @@ def context_counts(train: DataFrame, coder_sent) -> tuple[np.ndarray, np.ndarray
                 part.append(t)
                 n += len(t) + 1
                 if n > 60_000:
-                    add(*spelling(part)[1:], 3)
+                    counts.add(*coder.spelling(part)[1:], 3)
                     part, n = [], 0
             if part:
-                add(*spelling(part)[1:], 3)
+                counts.add(*coder.spelling(part)[1:], 3)
             spelt.clear()
 
         for batch in batches:
@@ -387,14 +418,23 @@ def context_counts(train: DataFrame, coder_sent) -> tuple[np.ndarray, np.ndarray
                 tokens = words(text)
                 place, symbol = coder.symbols(tokens)
                 one, two = _contexts(symbol)
+                np.add.at(symbols, symbol, 1)
                 for a in range(0, len(symbol), LANE_TOKENS):
-                    add(*coder.bits(symbol[a : a + LANE_TOKENS], one[a : a + LANE_TOKENS], two[a : a + LANE_TOKENS])[1:], 0)
-                spelt.update(t for t, s in zip(tokens, symbol) if s == coder.escape)
+                    part = slice(a, a + LANE_TOKENS)
+                    _, bit, slots = coder.bits(symbol[part], one[part], two[part])
+                    counts.add(bit, slots[1:], 1)
+                spelt.update(compress(tokens, (symbol[:-1] == coder.escape).tolist()))
                 if len(spelt) > FLUSH:
                     spell()
         spell()
+        counts.flush()
         if any_:
-            yield from _chunks(sums)
+            sums = counts.sums.reshape(-1, 2)
+            # The nodes' own counts follow from those of the symbols.
+            some = np.flatnonzero(symbols)
+            token, bit, slots = coder.bits(some, some, some)
+            np.add.at(sums, (slots[0].astype(np.int64) + _STARTS[0], bit), symbols[some][token].astype(np.uint32))
+            yield from _chunks(np.ascontiguousarray(sums.T))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -461,7 +501,7 @@ def score_texts(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_co
             pairs = [m.coder.symbols(t) for t in texts]
             known = [int((p >= 0).sum()) for p, _ in pairs]
             base = [float(log_count[p[p >= 0]].sum()) + log_end for p, _ in pairs]
-            spelt = [[t for t, s in zip(ts, sy.tolist()) if s == m.coder.escape] for ts, (_, sy) in zip(texts, pairs)]
+            spelt = [list(compress(ts, (sy[:-1] == m.coder.escape).tolist())) for ts, (_, sy) in zip(texts, pairs)]
             bits = m.score(texts, [s for _, s in pairs], spelt)
             index = m.coder.index
             tails = [[{"token": t, "n": n} for t, n in Counter(x for x in ts if x not in index).items()] for ts in spelt]
