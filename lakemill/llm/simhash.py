@@ -135,8 +135,8 @@ def _pairs_within(group: Column, radius: int) -> Column:
     return F.flatten(near)
 
 
-def near_pairs(distinct: DataFrame, radius: int = 3) -> DataFrame:
-    """All pairs (a < b) of distinct fingerprints at radius or fewer bits."""
+def near_groups(distinct: DataFrame, radius: int = 3) -> DataFrame:
+    """g: short arrays of distinct fingerprints, such that each pair at radius or fewer bits shares one."""
     rows, found = distinct.select(F.lit(0).cast("long").alias("mask"), "fp"), []
     for level in range(MAX_LEVELS):
         rows = _tables(rows, covering_masks(radius, level))
@@ -145,12 +145,36 @@ def near_pairs(distinct: DataFrame, radius: int = 3) -> DataFrame:
         last = level == MAX_LEVELS - 1
         met = rows.join(keys, ["mask", "key"])
         small = met if last else met.where(F.col("count") <= BUCKET)
-        groups = small.groupBy("mask", "key").agg(F.collect_set("fp").alias("g"))
-        found.append(save(groups.select(F.explode(_pairs_within(F.col("g"), radius)).alias("p")).select("p.a", "p.b").distinct(), "near"))
+        found.append(save(small.groupBy("mask", "key").agg(F.sort_array(F.collect_set("fp")).alias("g")).select("g"), "groups"))
         if last or keys.where(F.col("count") > BUCKET).isEmpty():
             break
         rows = save(met.where(F.col("count") > BUCKET).select("mask", "fp"), "crowded")
-    return reduce(DataFrame.union, found).distinct()
+    return reduce(DataFrame.union, found)
+
+
+def near_pairs(distinct: DataFrame, radius: int = 3) -> DataFrame:
+    """All pairs (a < b) of distinct fingerprints at radius or fewer bits."""
+    groups = near_groups(distinct, radius)
+    return groups.select(F.explode(_pairs_within(F.col("g"), radius)).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _chains(groups: DataFrame, radius: int) -> DataFrame:
+    """Of each group only its first member with the others, and neighbours in its order."""
+    g = F.col("g")
+    star = F.transform(F.slice(g, 2, F.size(g) - 1), lambda y: F.struct(g[0].alias("a"), y.alias("b")))
+    line = F.transform(F.sequence(F.lit(1), F.size(g) - 1), lambda k: F.struct(F.element_at(g, k).alias("a"), F.element_at(g, k + 1).alias("b")))
+    near = F.filter(F.array_union(star, line), lambda p: F.bit_count(p["a"].bitwiseXOR(p["b"])) <= radius)
+    return groups.select(F.explode(near).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _across(groups: DataFrame, part: DataFrame, radius: int) -> DataFrame:
+    """The near pairs of the groups whose ends part (fp, part) doesn't hold together already."""
+    flat = groups.withColumn("k", F.monotonically_increasing_id())
+    flat = save(flat.select("k", F.explode("g").alias("fp")), "grouped").join(part, "fp")
+    named = flat.groupBy("k").agg(F.collect_list(F.struct("fp", "part")).alias("g")).where(F.size(F.array_distinct(F.col("g.part"))) > 1)
+    near = lambda x, y: (x["fp"] < y["fp"]) & (x["part"] != y["part"]) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius)
+    pairs = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: near(x, y)), lambda y: F.struct(x["fp"].alias("a"), y["fp"].alias("b")))))
+    return named.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,22 +198,56 @@ def jaccard(a: bytes, b: bytes, shingle: int) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def _candidates(prints: DataFrame, seeds: int, radius: int) -> DataFrame:
-    """(a, b) of texts whose fingerprints of one seed are near; node is a text's digest.
+def _ends(pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """(a, b) as texts, for pairs of fingerprints."""
+    met = pairs.join(least.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(least.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
+    return met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, verify: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar.
+
+    The joins are the same at every size: a small input must not flip to a
+    broadcast of texts that a large one can't have.
+    """
+    wanted = save(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    held = save(texts.join(wanted.hint("merge"), "node").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [jaccard(x, y, verify) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            part = batch.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"])
+
+    sides = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    return save(sides.select("a", "b", "ta", "tb").mapInArrow(judge, "a binary, b binary"), "similar")
+
+
+def _similar(prints: DataFrame, texts: DataFrame, seeds: int, radius: int, verify: int, similarity: float) -> DataFrame:
+    """Verified links (a, b) of texts that connect all that the candidate pairs connect.
 
-    Texts with one fingerprint are linked to the least of them, and near
-    fingerprints by their least texts, so a crowd of texts gives as many
-    candidates as it has members.
+    Texts with one fingerprint are candidates with the least of them.  Near
+    fingerprints stand for their least texts: first each group's chains are
+    verified, then all its pairs whose ends those links leave apart.  So a crowd
+    of copies gives about as many candidates as it has members, and a pair goes
+    unverified only where its ends are connected without it.
     """
-    found = []
+    first, kept = [], []
     for k in range(seeds):
         of = prints.select("node", F.col("fps")[k].alias("fp"))
         least = save(of.groupBy("fp").agg(F.min("node").alias("rep")), "least-texts")
         same = of.join(least, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-        near = near_pairs(least.select("fp"), radius)
-        ends = near.join(least.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(least.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
-        found.append(same.unionAll(ends.select(F.least("u", "v"), F.greatest("u", "v"))))
-    return save(reduce(DataFrame.unionAll, found).distinct(), "candidates")
+        groups = near_groups(least.select("fp"), radius)
+        first.append(same.unionAll(_ends(_chains(groups, radius), least)))
+        kept.append((least, groups))
+    links = _verified(save(reduce(DataFrame.unionAll, first).distinct(), "candidates"), texts, verify, similarity)
+    labels = components(links).withColumnRenamed("node", "rep")
+    rest = []
+    for least, groups in kept:
+        part = least.join(labels, "rep", "left").select("fp", F.coalesce("label", "rep").alias("part"))
+        rest.append(_ends(_across(groups, part, radius), least))
+    more = save(reduce(DataFrame.unionAll, rest).distinct(), "candidates")
+    return links.unionAll(_verified(more, texts, verify, similarity))
 
 
 def near_duplicates(docs: DataFrame, verify: int = 5, similarity: float = 0.8, shingle: int = 2, seeds: int = 4, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,19 +267,7 @@ def near_duplicates(docs: DataFrame, verify: int = 5, similarity: float = 0.8, s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64()))], names=["node", "fps"])
 
     prints = texts.mapInArrow(run, "node binary, fps array<long>").groupBy("node").agg(F.first("fps").alias("fps"))
-    pairs = _candidates(save(prints, "fingerprints"), seeds, radius)
-    wanted = save(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
-    # One text for each digest that is in a candidate pair.
-    held = save(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [jaccard(x, y, verify) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            part = batch.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"])
-
-    sides = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    labels = components(sides.select("a", "b", "ta", "tb").mapInArrow(judge, "a binary, b binary"))
+    labels = components(_similar(save(prints, "fingerprints"), texts, seeds, radius, verify, similarity))
     slim = rows.select("__sh_row", F.col(id_col).alias("id"), F.col("__sh_node").alias("node")).join(labels, "node", "left")
     first = slim.groupBy(F.coalesce("label", "node").alias("group")).agg(F.min(F.struct("id", "__sh_row")).alias("best"))
     best = save(first.select(F.col("best.__sh_row").alias("__sh_row")), "best")
