@@ -7,12 +7,13 @@ own.  Texts go through the dialect's rewrites and are then planned by Catalyst.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lakemill.plans.rewrite import sql
-from lakemill.session import configure
+from lakemill.session import TABLES, configure
 from lakemill.sources.io import register_tables
 
 FLAGSHIP = "flagship_revenue_by_nation_segment"
@@ -140,8 +141,10 @@ PAIRS: dict[str, tuple[str, str]] = {
 
 
 def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    tables = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register_tables(configure(spark), sf_dir)
+        register_tables(configure(spark), sf_dir, tables or ["region"])
         return sql(spark, text)
 
     return run
