@@ -1,21 +1,21 @@
 """Benchmark decontamination by rare seeds and local alignment (operator 10).
 
 Words are runs of letters and digits in lower case, so changed case, white
-space and punctuation don't matter.  A first pass counts in how many texts each
-``seed``-word n-gram of the test items occurs.  Of each item, an n-gram is a
-seed unless it is common: over ``common_share`` of all texts hold it *and* it is
-held by over four times as many texts as the item's median n-gram.  (So a
-popular phrase inside an item is no seed, but an item that itself was copied
-into very many texts keeps its seeds.)  Items shorter than a seed use their
-whole word sequence.
-
-A second pass finds seeds in each whole text.  Where the seeds of an item are
-met, a Smith-Waterman alignment of the item with that passage (match +2,
-mismatch -1, gap -1) is scored as a share of the best possible score; the
-passages are at most three item lengths long and overlapping hits are joined,
-so a text of any length is covered in linear time.  A pair counts from
-``min_score``: all but about a fifth of the words in order, with substitutions,
-insertions and deletions allowed.
+space and punctuation don't matter.  Every ``seed``-word n-gram of an item is a
+seed, however many texts hold it: a copy may have been edited so that only
+common n-grams are left whole.  Items shorter than a seed use their whole word
+sequence.
+
+One pass finds seeds in each whole text.  Where the seeds of an item are met,
+the passage around them is aligned with the item, but only if it can count at
+all: ``min_score`` needs that share of the item's words as matches, so a passage
+that lacks more of them is passed over without any loss.  A Smith-Waterman
+alignment (match +2, mismatch -1, gap -1) is scored as a share of the best
+possible score; the passages are at most three item lengths long and overlapping
+hits are joined, so a text of any length is covered in linear time.  A pair
+counts from ``min_score``: all but about a fifth of the words in order, with
+substitutions, insertions and deletions allowed.  A copy that keeps no ``seed``
+words of the item in a row isn't met.
 
 The items are sent to the executors only up to ``BLOCK_WORDS`` words; a larger
 benchmark is gone through in blocks of that size, each against all texts.
@@ -26,7 +26,7 @@ match; repeated rows each get their rows; an empty table gives no pairs.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -40,7 +40,6 @@ from lakemill.llm.workspace import save, small_batches, text_bytes
 
 SEED = 4
 MIN_SCORE = 0.6
-COMMON_SHARE = 0.001
 #: Words of test items that are broadcast at a time (about 20 MB).
 BLOCK_WORDS = 1_000_000
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
@@ -109,46 +108,30 @@ def passages(positions: list[int], length: int, total: int) -> list[tuple[int, i
     return [(a, min(a + 3 * length, end)) for begin, end in joined for a in range(begin, max(begin + 1, end - 2 * length), length)]
 
 
-def _gram_counts(docs: DataFrame, wanted: dict, lengths: list[int], text_col: str) -> dict[tuple, int]:
-    """In how many texts each wanted gram occurs; no more rows than grams come back."""
-    names = list(wanted)
-    sent = docs.sparkSession.sparkContext.broadcast({g: k for k, g in enumerate(names)})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, counts = sent.value, defaultdict(int)
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                for g in {g for _, g in hits(words_of(t.decode("utf-8", "replace")), index, lengths)}:
-                    counts[index[g]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
-
-    rows = docs.select(text_bytes(text_col).alias("text")).mapInArrow(run, "gram long, n long")
-    return {names[r.gram]: r.n for r in rows.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+def matches_within(times: Counter, passage: list[str]) -> int:
+    """How many words of an item, counted in times, an alignment with passage can match at most."""
+    return sum(map(times.__getitem__, times.keys() & set(passage)))
 
 
-def choose_seeds(items: dict[int, list[str]], counts: dict[tuple, int], texts: int, seed: int, common_share: float) -> dict[tuple, list[int]]:
+def seeds_of(items: dict[int, list[str]], seed: int) -> dict[tuple, list[int]]:
     """The items of each seed."""
     out: dict[tuple, list[int]] = defaultdict(list)
     for item, found in items.items():
-        own = sorted(set(grams(found, seed)))
-        if own:
-            middle = sorted(counts.get(g, 0) for g in own)[len(own) // 2]
-            for g in own:
-                if counts.get(g, 0) <= max(common_share * texts, 4 * middle):
-                    out[g].append(item)
+        for g in set(grams(found, seed)):
+            out[g].append(item)
     return dict(out)
 
 
-def _block(docs: DataFrame, block: list[tuple[object, str]], seed: int, min_score: float, common_share: float, texts: int, id_col: str, text_col: str, item_type: str) -> DataFrame:
+def _block(docs: DataFrame, block: list[tuple[object, str]], seed: int, min_score: float, id_col: str, text_col: str, item_type: str) -> DataFrame:
     items = {k: words_of(t) for k, (_, t) in enumerate(block)}
-    wanted = {g: None for found in items.values() for g in grams(found, seed)}
-    lengths = sorted({len(g) for g in wanted})
-    seeds = choose_seeds(items, _gram_counts(docs, wanted, lengths, text_col), texts, seed, common_share)
+    seeds = seeds_of(items, seed)
+    lengths = sorted({len(g) for g in seeds})
     sent = docs.sparkSession.sparkContext.broadcast((seeds, items, [i for i, _ in block], lengths))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, items, names, lengths = sent.value
+        counts: dict[int, Counter] = {}
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -158,10 +141,15 @@ def _block(docs: DataFrame, block: list[tuple[object, str]], seed: int, min_scor
                     for item in seeds[g]:
                         by_item[item].append(at)
                 for item, at in by_item.items():
-                    ids = {w: k for k, w in enumerate(dict.fromkeys(items[item]))}
+                    if item not in counts:
+                        counts[item] = Counter(items[item])
+                    times, n, best = counts[item], len(items[item]), (0.0, 0, 0)
+                    likely = [(a, b) for a, b in passages(at, n, len(found)) if matches_within(times, found[a:b]) >= min_score * n]
+                    if not likely:
+                        continue
+                    ids = {w: k for k, w in enumerate(times)}
                     own = np.array([ids[w] for w in items[item]])
-                    best = (0.0, 0, 0)
-                    for a, b in passages(at, len(own), len(found)):
+                    for a, b in likely:
                         score, first, end = align(own, np.array([ids.get(w, -1) for w in found[a:b]]))
                         best = max(best, (score, a + first, a + end), key=lambda x: x[0])
                         if best[0] == 1:
@@ -179,10 +167,9 @@ def _block(docs: DataFrame, block: list[tuple[object, str]], seed: int, min_scor
     return docs.select(F.col(id_col), text_bytes(text_col).alias("text")).mapInArrow(run, wide)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, min_score: float = MIN_SCORE, common_share: float = COMMON_SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, score, first_word, end_word) of each text that holds an item."""
     small_batches(docs.sparkSession)
-    texts = docs.count()
     item_type = benchmark.schema[item_col].dataType.simpleString()
     blocks, block, size = [], [], 0
     # The items come one partition at a time; a full block is worked off before the next is read.
@@ -190,10 +177,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, min_sc
         block.append((r[0], r[1]))
         size += r[1].count(" ") + 1
         if size >= BLOCK_WORDS:
-            blocks.append(save(_block(docs, block, seed, min_score, common_share, texts, id_col, text_col, item_type), "leaks"))
+            blocks.append(save(_block(docs, block, seed, min_score, id_col, text_col, item_type), "leaks"))
             block, size = [], 0
     if block or not blocks:
-        blocks.append(_block(docs, block, seed, min_score, common_share, texts, id_col, text_col, item_type))
+        blocks.append(_block(docs, block, seed, min_score, id_col, text_col, item_type))
     return reduce(DataFrame.union, blocks)
 
 

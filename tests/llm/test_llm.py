@@ -244,6 +244,38 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontam.decontaminate(frame(spark, texts), bench).collect()) == [2, 3, 4]
 
 
+@pytest.mark.parametrize("copies,clean", [(1, 4), (1, 200), (6, 1000), (60, 240)])
+def test_edited_copies_are_all_met(spark, copies, clean):
+    """Every fifth word is replaced: most four-word runs of the item occur nowhere."""
+    item = [f"item{k}" for k in range(38)]
+    leak = " ".join("other" if k % 5 == 4 else w for k, w in enumerate(item))
+    texts = [f"before {leak} after {k}" for k in range(copies)] + [f"clean text {k} about item{k % 38} item{k % 38 + 1}" for k in range(clean)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = decontam.contaminated(frame(spark, texts), bench).collect()
+    assert sorted(r.doc_id for r in found) == list(range(copies))
+    assert all(abs(r.score - slow_alignment(item, texts[r.doc_id].split())) < 1e-9 for r in found)
+
+
+def test_decontamination_against_every_alignment(spark):
+    """All items with all texts, the copies edited at random; a pair must keep four words in a row."""
+    rng = np.random.default_rng(11)
+    draw = lambda n: [f"w{k}" for k in rng.zipf(1.3, n) % 300]
+    items = [draw(int(n)) for n in rng.integers(3, 40, 12)]
+    texts = []
+    for _ in range(80):
+        body = draw(int(rng.integers(5, 60)))
+        copy = [w if rng.random() > 0.12 else "edit" for w in items[int(rng.integers(12))] if rng.random() > 0.05]
+        texts.append([*body[:9], *copy, *body[9:]] if rng.random() < 0.6 else body)
+    want = set()
+    for i, t in enumerate(texts):
+        for k, x in enumerate(items):
+            if {*decontam.grams(x, 4)} & {g for n in (3, 4) for g in zip(*(t[j:] for j in range(n)))} and slow_alignment(x, t) >= decontam.MIN_SCORE:
+                want.add((i, k))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    found = decontam.contaminated(frame(spark, [" ".join(t) for t in texts]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(want) > 20
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_stages_on_odd_rows(spark, tmp_path, empty):
     docs = frame(spark, ODD).withColumn("label", F.lit(1)).withColumn("hash", F.lit("x"))
