@@ -140,6 +140,33 @@ def test_near_duplicates_of_a_crowd_are_one(spark):
     assert [r.doc_id for r in simhash.near_duplicates(frame(spark, crowd)).collect()] == [0]
 
 
+def slow_groups(texts, similarity=0.8):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= similarity * len(x | sets[j]) and label[i] != label[j]:
+                label = [min(label[i], label[j]) if v in (label[i], label[j]) else v for v in label]
+    return label
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """Scattered edits, cuts and added blocks at similarities from just 0.8."""
+    rng, texts = np.random.default_rng(4), []
+    for t in range(60):
+        base = [f"t{t}w{k}" for k in rng.integers(0, 5000, 250)]
+        kind, share = t % 3, 0.8 + 0.003 * (t // 3)
+        if kind == 0:
+            edits = rng.choice(250, max(1, int(250 * (1 - share) / 10)), replace=False)
+            copy = ["edit" if k in edits else w for k, w in enumerate(base)]
+        else:
+            copy = base[: int(250 * share) + 1] if kind == 1 else [*base, *(f"t{t}new{k}" for k in range(int(250 / share) - 252))]
+        texts += [" ".join(base), " ".join(copy)]
+    want = sorted(set(slow_groups(texts)))
+    assert len(want) <= 62
+    assert sorted(r.doc_id for r in simhash.near_duplicates(frame(spark, texts)).collect()) == want
+
+
 def test_toxicity_held_out(spark):
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
     got = queries.op5_toxicity(spark, LARGER).collect()
