@@ -167,6 +167,18 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(r.doc_id for r in simhash.near_duplicates(frame(spark, texts)).collect()) == want
 
 
+def test_near_duplicates_under_one_repeated_line(spark):
+    """A line in all texts outweighs their own words, by which alone they are alike or not."""
+    rng, line = np.random.default_rng(6), "one line that all of these texts repeat often "
+    texts = []
+    for t in range(7):
+        own = [f"t{t}own{k}" for k in range(300)]
+        for _ in range(3):
+            texts.append(line * 120 + " ".join("edit" if k == rng.integers(300) else w for k, w in enumerate(own)))
+    got = sorted(r.doc_id for r in simhash.near_duplicates(frame(spark, texts)).collect())
+    assert got == sorted(set(slow_groups(texts))) and len(got) == 7
+
+
 def test_toxicity_held_out(spark):
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
     got = queries.op5_toxicity(spark, LARGER).collect()
