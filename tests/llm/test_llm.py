@@ -60,14 +60,55 @@ def test_lm_base_score_and_fold(spark, rows):
     assert sum(r.score for r in seen) > sum(r.base_score for r in seen)
 
 
-def test_lm_bits_are_probabilities():
-    coder = lmscore.Coder([b"a", b"b", b"c"], np.array([9, 5, 3]), 20, 3)
-    for length in (coder.length, coder.byte_length):
-        assert abs(sum(2.0 ** -int(n) for n in length) - 1) < 1e-12
-    counts = lmscore.SlotCounts()
-    counts.add(np.array([1, 0, 1], np.uint8), [np.array([7, 7, 7], np.uint32)], 0)
-    counts.flush()
-    assert counts.sums[14:16].tolist() == [1, 2]
+def test_lm_paths_are_probabilities():
+    """Over all symbols the paths, each half-half, with what they leave open sum to one; at any cut of the tree."""
+    counts = np.array([900, 500, 300, 40, 7, 3, 3, 1])
+    for share in (0.0, 0.01, 0.2):
+        start, length, node, bit, rest = lmscore.huffman(counts, share)
+        assert abs((0.5 ** length * 2.0**rest).sum() - 1) < 1e-6
+        assert len(node) == len(bit) == length.sum()
+    found = lmscore.SlotCounts(16)
+    found.add(np.array([1, 0, 1], np.uint8), [np.array([7, 7, 7])])
+    found.flush()
+    assert found.sums[14:16].tolist() == [1, 2]
+
+
+def test_lm_reads_tokens_as_split_does():
+    texts = [b"", b" ", b"One two\tTHREE\x0bfour\x1cfive ", "Été ça\n\n".encode(), b"x" * 200, b"one " * 3000]
+    coder = lmscore.Coder([b"one", b"two", "ça".encode()], np.array([9, 5, 3]), 30, 3)
+    place = {b"one": 0, b"two": 1, "ça".encode(): 2}
+    stretch = lmscore.STRETCH
+    try:
+        for lmscore.STRETCH in (stretch, 50):
+            for text, got in zip(texts, coder.read(texts)):
+                want = text.lower().split()
+                assert got.place.tolist() == [place.get(w, -1) for w in want]
+                assert got.tail == [w for w in want if w not in place] and len(got.hashed) == len(got.context) == len(want)
+    finally:
+        lmscore.STRETCH = stretch
+
+
+def test_lm_chunks_move_with_their_text():
+    rng = np.random.default_rng(3)
+    shared, a, b = (rng.integers(0, 1 << 64, n, np.uint64) for n in (400, 30, 57))
+    one, two = (lmscore.chunks(np.concatenate([x, shared])) for x in (a, b))
+    assert len(set(zip(one[1].tolist(), one[2].tolist())) & set(zip(two[1].tolist(), two[2].tolist()))) > 20
+    assert [len(x) for x in lmscore.chunks(np.zeros(0, np.uint64))] == [0, 0, 0]
+
+
+def test_lm_tells_copied_texts_and_unseen_ones(spark):
+    """Held-out texts do better than the unigram on what it can say, its known words; copies cost next to nothing."""
+    rng = np.random.default_rng(8)
+    draw = lambda lang, n: " ".join(f"{lang}{k}" for k in rng.zipf(1.3, n) % 500)
+    texts = [draw("ab"[k % 2], 200) for k in range(300)]
+    texts += texts[:20]
+    got = {r.doc_id: r for r in lmscore.score_texts(frame(spark, texts), F.col("doc_id") % 5 != 1).collect()}
+    fresh = [got[k] for k in range(20, 300) if k % 5 == 1]
+    assert sum(r.score for r in fresh) > sum(r.base_score for r in fresh)
+    # Training texts with a copy in training.
+    copied = [got[k] for k in range(300, 320) if k % 5 != 1]
+    assert len(copied) == 16 and sum(r.score for r in copied) > 0.3 * sum(r.base_score for r in copied)
+    assert all(r.score < 0.6 * r.base_score for r in fresh)
 
 
 def test_language_id_held_out(spark):
