@@ -40,13 +40,12 @@ all training tokens, exact for every token.
 Defined results: a null text is empty and has its end alone; without training
 texts all counts are 0; rows that repeat an id each get a row, and equal texts
 equal scores if both or neither are training texts.  A very long text is read in
-stretches of ``STRETCH`` bytes, cut at white space.
+stretches of 4 MB, cut at white space.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -58,7 +57,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.workspace import save, small_batches, text_bytes, words
+from lakemill.llm.runs import FIRST, STRETCH, spans, spread, stretches
+from lakemill.llm.workspace import save, small_batches, text_bytes
 
 END_TOKEN = b"\n"
 HEAD = 1 << 18
@@ -69,34 +69,28 @@ BLOCK = 64
 #: Words that are spelt before their bits are learned from.
 SPELT_BLOCK = 16
 #: log2 of the most slots of a word context's table, and of the slots of the three byte contexts.
-MOST_SLOTS, BYTE_SLOTS = (22, 20), (16, 20, 22)
+MOST_SLOTS, BYTE_SLOTS = (22, 19), (16, 18, 20)
 #: The most frequent words are contexts of their own; others are so by a hash of their last three bytes.
 CONTEXT_WORDS, CONTEXT_ENDS, COMMON_WORDS = 1 << 12, 12, 64
 #: The least share of all tokens of a tree node whose decision is mixed; rarer ones follow the exact counts.
-NODE_SHARE = 2.0**-12
+NODE_SHARE = 2.0**-10
 PART = 1 << 14
 LANE_TOKENS = 60_000
 FLUSH = 400_000
-STRETCH = 1 << 22
 #: Context slots that are gathered before they are counted.
 GATHERED = 1 << 22
 SALTS = 16
-CHUNK_WORDS = 12
+CHUNK_WORDS = 24
 DISCOUNT = 0.5
 #: Learning rates of the weights (words, bytes) and of the probability map.
 RATES, MAP_RATE = (0.002, 0.004), 0.015
 
-_SPACE = re.compile(rb"[ \t-\r]")
 #: Bytes that a spelt byte is predicted from, in each of the three contexts.
 ORDERS = (1, 3, 5)
 _BEFORE = bytes(ORDERS[-1])
 _MULT = np.uint32(0x9E3779B1)
 _BINS = 24
-#: Values of bytes, and the base of the polynomial hashes of tokens.
-_BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
-_BASE = 0x9E3779B97F4A7C15
 _END_HASH = np.uint64(0x5851F42D4C957F2D)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _hash(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
@@ -107,29 +101,6 @@ def _hash(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2^64."""
-    if len(_POWERS[0]) <= n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(max(n + 1, 1 << 16), base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps)
-    return _POWERS
-
-
-def _spread(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
-
-
-def _runs(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each run start .. end - 1 of 64-bit values, whatever its place."""
-    power, inverse = _powers(len(values))
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[: len(values)], out=total[1:])
-    return _spread((total[end] - total[start]) * inverse[start])
-
-
 def huffman(counts: np.ndarray, share: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, length) of each symbol's path, nodes and bits of all paths, and the log2 probability of what the path leaves open.
 
@@ -180,6 +151,11 @@ class Tokens:
     tail: list[bytes]
 
 
+def _joined(parts: list[Tokens]) -> Tokens:
+    place, hashed, context = (np.concatenate([getattr(p, c) for p in parts]) if parts else np.zeros(0, kind) for c, kind in (("place", np.int32), ("hashed", np.uint64), ("context", np.uint32)))
+    return Tokens(place, hashed, context, [t for p in parts for t in p.tail])
+
+
 class Coder:
     """Texts to symbols, and symbols to bits with their context slots."""
 
@@ -196,7 +172,7 @@ class Coder:
         # The head's hashes in order, and where each value of their top 20 bits begins.
         line = np.frombuffer(b"".join(head), np.uint8)
         stops = np.cumsum([len(t) for t in head], dtype=np.int64)
-        keys = _runs(_BYTE[line], stops - np.array([len(t) for t in head], np.int64), stops)
+        keys = FIRST.words(line, stops - np.array([len(t) for t in head], np.int64), stops)
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank = np.append(keys[order], np.uint64((1 << 64) - 1)), np.append(order, -1).astype(np.int32)
         self.first = np.searchsorted(keys[order], np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
@@ -214,54 +190,31 @@ class Coder:
 
     def read(self, texts: list[bytes]) -> list[Tokens]:
         """The tokens of each text; many short texts are read at once."""
-        out: list[Tokens] = []
-        group: list[bytes] = []
-        size = 0
-        for t in texts:
-            if group and size + len(t) > STRETCH:
-                out += self._group(group)
-                group, size = [], 0
-            if len(t) > STRETCH:
-                out.append(self._long(t))
-            else:
-                group.append(t)
-                size += len(t) + 1
-        return out + self._group(group) if group else out
+        out: list[list[Tokens]] = [[] for _ in texts]
+        for which, parts in stretches(texts):
+            for k, found in zip(which, self._long_word(parts[0]) if len(parts[0]) > STRETCH else self._group(parts)):
+                out[k].append(found)
+        return [found[0] if len(found) == 1 else _joined(found) for found in out]
 
     def _group(self, texts: list[bytes]) -> list[Tokens]:
         blob = b"\n".join(texts).lower()
         line = np.frombuffer(blob, np.uint8)
-        space = (line == 32) | (line - np.uint8(9) < 5)
-        edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
-        start, end = edges[::2], edges[1::2]
-        h = _runs(_BYTE[line], start, end)
+        start, end = spans(line)
+        h = FIRST.words(line, start, end)
         place = self.places(h)
         place[end - start > HEAD_BYTES] = -1
+        context = _endings(line, start, end)
+        often = (place >= 0) & (place < CONTEXT_WORDS)
+        context[often] = place[often]
         cuts = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts])).tolist()
         far = np.flatnonzero(place < 0)
         tail = [blob[a:b] for a, b in zip(start[far].tolist(), end[far].tolist())]
         stops = np.searchsorted(far, cuts).tolist()
-        context = _endings(line, start, end)
-        often = (place >= 0) & (place < CONTEXT_WORDS)
-        context[often] = place[often]
         return [Tokens(place[a:b], h[a:b], context[a:b], tail[i:j]) for a, b, i, j in zip([0, *cuts], cuts, [0, *stops], stops)]
 
-    def _long(self, text: bytes) -> Tokens:
-        parts, at = [], 0
-        while at < len(text):
-            near = max(text.rfind(c, at, at + STRETCH) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")) if len(text) - at > STRETCH else len(text)
-            if near > at:
-                parts += self._group([text[at:near]])
-            elif near < 0:
-                # One token fills the stretch: it is never in the head.
-                far = _SPACE.search(text, at + STRETCH)
-                near = far.start() if far else len(text)
-                word = text[at:near].lower()
-                end = np.array([len(word)])
-                parts.append(Tokens(np.full(1, -1, np.int32), np.array([xxhash.xxh64_intdigest(word)], np.uint64), _endings(np.frombuffer(word, np.uint8), end - end, end), [word]))
-            at = near + 1
-        place, hashed, context = (np.concatenate([getattr(p, c) for p in parts]) if parts else np.zeros(0, kind) for c, kind in (("place", np.int32), ("hashed", np.uint64), ("context", np.uint32)))
-        return Tokens(place, hashed, context, [t for p in parts for t in p.tail])
+    def _long_word(self, word: bytes) -> list[Tokens]:
+        word, end = word.lower(), np.array([len(word)])
+        return [Tokens(np.full(1, -1, np.int32), np.array([xxhash.xxh64_intdigest(word)], np.uint64), _endings(np.frombuffer(word, np.uint8), end - end, end), [word])]
 
     def symbols(self, place: np.ndarray) -> np.ndarray:
         return np.append(np.where(place < 0, self.escape, place), self.end)
@@ -450,14 +403,17 @@ class Model:
     new: float = 0.5
     _weights: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (starting_weights(False), starting_weights(True)))
 
-    def score(self, texts: list[Tokens]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """log2 probability of each token of each text (an escape without its word), and of each of its spelt words."""
+    def score(self, texts: list[Tokens], known: list[bool]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """log2 probability of each token of each text (an escape without its word), and of each of its spelt words.
+
+        known: the texts of which training has all words, so that none is spelt.
+        """
         bits: list[np.ndarray] = [np.zeros(0, np.float32)] * len(texts)
         for part in _groups([len(t.place) for t in texts], LANE_TOKENS):
             for k, found in zip(part, self._words([texts[k] for k in part])):
                 bits[k] = found
-        spelt: list[np.ndarray] = [np.zeros(0, np.float32)] * len(texts)
-        some = [k for k, t in enumerate(texts) if t.tail]
+        spelt = [np.zeros(len(t.tail), np.float32) for t in texts]
+        some = [k for k, t in enumerate(texts) if t.tail and not known[k]]
         for part in _groups([sum(map(len, texts[k].tail)) for k in some], LANE_TOKENS):
             part = [some[k] for k in part]
             for k, found in zip(part, self._spelt([texts[k].tail for k in part])):
@@ -517,14 +473,27 @@ def chunks(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = np.append(hashed, _END_HASH)
     start = np.zeros(0, np.int64)
     if len(h) > 4:
-        mixed = _spread(h[3:-1] * np.uint64(0xA24BAED4963EE407) + h[2:-2])
+        mixed = spread(h[3:-1] * np.uint64(0xA24BAED4963EE407) + h[2:-2])
         start = np.flatnonzero(mixed < np.uint64((1 << 64) // CHUNK_WORDS)) + 4
     if not len(start):
         return start, start.astype(np.uint64), start.astype(np.uint64)
-    runs = _runs(h, np.concatenate([start - 4, start]), np.concatenate([start, start[1:], [len(h)]]))
+    runs = FIRST.runs(h, np.concatenate([start - 4, start]), np.concatenate([start, start[1:], [len(h)]]))
     return start, runs[: len(start)], runs[len(start) :]
 
 
+def _count_words(counts: Counter, blob: bytes) -> None:
+    """Add the words of a line; equal hashes are counted first, each word is cut out once."""
+    line = np.frombuffer(blob, np.uint8)
+    start, end = spans(line)
+    # Bytes tell long words apart.
+    long = end - start > HEAD_BYTES
+    counts.update([blob[a:b] for a, b in zip(start[long].tolist(), end[long].tolist())])
+    start, end = start[~long], end[~long]
+    _, first, n = np.unique(FIRST.words(line, start, end), return_index=True, return_counts=True)
+    for a, b, k in zip(start[first].tolist(), end[first].tolist(), n.tolist()):
+        counts[blob[a:b]] += k
+
+
 def token_counts(train: DataFrame) -> DataFrame:
     """(token, c) of all training tokens, the end among them."""
 
@@ -536,9 +505,9 @@ def token_counts(train: DataFrame) -> DataFrame:
 
         size = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(words(text))
-                size += len(text)
+            for _, parts in stretches(batch.column(0).to_pylist()):
+                _count_words(counts, b"\n".join(parts).lower())
+                size += sum(map(len, parts))
                 if len(counts) > FLUSH or size > 64 * STRETCH:
                     yield out()
                     counts.clear()
@@ -595,7 +564,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _summed(made: DataFrame, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones of all slots, from the tables that tasks have counted."""
-    made = save(made.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))), "context-counts")
+    made = made.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     parts = max(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), SALTS)
     level = made.repartition(parts, "part", "salt").select("part", "counts").mapInArrow(_merged, "part int, counts binary")
     whole = level.repartition(parts, "part").mapInArrow(_merged, "part int, counts binary")
@@ -718,7 +687,7 @@ def score_texts(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_co
         for batch in batches:
             raw = batch.column(3).to_pylist()
             read = m.coder.read(raw)
-            bits, spelt = m.score(read)
+            bits, spelt = m.score(read, batch.column(2).to_pylist())
             known = [t.place[t.place >= 0] for t in read]
             sums, owns, pieces, tails = [], [], [], []
             for t, b, s in zip(read, bits, spelt):
@@ -766,7 +735,8 @@ def score_texts(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_co
                     cost = np.where(c > 0, np.log2((1 - new) * np.maximum(c, 1) / in_tail), np.log2(new) + spelt)
                     bits += np.bincount(k, cost, len(bits))
                 if p is not None:
-                    bits[1:] = _copied(bits[1:], np.frombuffer(own, "<i4").reshape(3, -1), train, *p)
+                    own = np.frombuffer(own, "<i4").reshape(3, -1) if own else np.stack([np.arange(len(bits) - 1), *np.ones((2, len(bits) - 1), int)])
+                    bits[1:] = _copied(bits[1:], own, train, *p)
                 known.append(a)
                 base.append(log - n * log_all)
                 score.append(float(bits.sum()) * float(np.log10(2)))
@@ -777,11 +747,16 @@ def score_texts(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_co
 
 
 def _own_chunks(context: np.ndarray, chunk: np.ndarray) -> tuple[bytes, tuple[np.ndarray, ...]]:
-    """Of each chunk its first like, how often it comes and its context does; and the distinct ones as rows (k, context, chunk, m)."""
-    both = np.stack([context, chunk])
-    _, first, like, m = np.unique(_spread(both[0] * np.uint64(3)) ^ both[1], return_index=True, return_inverse=True, return_counts=True)
+    """Of each chunk its first like, how often it comes and its context does; and the distinct ones as rows (k, context, chunk, m).
+
+    No bytes for chunks whose contexts all differ.
+    """
+    n = len(context)
+    if len(set(context.tolist())) == n:
+        return b"", (np.arange(n, dtype=np.int32), context.view(np.int64), chunk.view(np.int64), np.ones(n, np.int32))
+    _, first, like, m = np.unique(spread(context * np.uint64(3)) ^ chunk, return_index=True, return_inverse=True, return_counts=True)
     _, which, of_context = np.unique(context, return_inverse=True, return_counts=True)
-    own = np.stack([first[like], m[like], of_context[which]]).astype("<i4") if len(context) else np.zeros((3, 0), "<i4")
+    own = np.stack([first[like], m[like], of_context[which]]).astype("<i4")
     return own.tobytes(), (first.astype(np.int32), context[first].view(np.int64), chunk[first].view(np.int64), m.astype(np.int32))
 
 

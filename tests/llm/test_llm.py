@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lakemill.llm import bpe, decontam, kdshard, langid, linededup, lmscore, pq, queries, rans, simhash, toxicity
+from lakemill.llm import bpe, decontam, kdshard, langid, linededup, lmscore, pq, queries, rans, runs, simhash, toxicity
 from tests.conftest import SF
 from tests.oracle import connect, same
 
@@ -73,26 +73,24 @@ def test_lm_paths_are_probabilities():
     assert found.sums[14:16].tolist() == [1, 2]
 
 
-def test_lm_reads_tokens_as_split_does():
+def test_lm_reads_tokens_as_split_does(monkeypatch):
     texts = [b"", b" ", b"One two\tTHREE\x0bfour\x1cfive ", "Été ça\n\n".encode(), b"x" * 200, b"one " * 3000]
     coder = lmscore.Coder([b"one", b"two", "ça".encode()], np.array([9, 5, 3]), 30, 3)
     place = {b"one": 0, b"two": 1, "ça".encode(): 2}
-    stretch = lmscore.STRETCH
-    try:
-        for lmscore.STRETCH in (stretch, 50):
-            for text, got in zip(texts, coder.read(texts)):
-                want = text.lower().split()
-                assert got.place.tolist() == [place.get(w, -1) for w in want]
-                assert got.tail == [w for w in want if w not in place] and len(got.hashed) == len(got.context) == len(want)
-    finally:
-        lmscore.STRETCH = stretch
+    for stretch in (runs.STRETCH, 50):
+        monkeypatch.setattr(runs, "STRETCH", stretch)
+        monkeypatch.setattr(lmscore, "STRETCH", stretch)
+        for text, got in zip(texts, coder.read(texts)):
+            want = text.lower().split()
+            assert got.place.tolist() == [place.get(w, -1) for w in want]
+            assert got.tail == [w for w in want if w not in place] and len(got.hashed) == len(got.context) == len(want)
 
 
 def test_lm_chunks_move_with_their_text():
     rng = np.random.default_rng(3)
     shared, a, b = (rng.integers(0, 1 << 64, n, np.uint64) for n in (400, 30, 57))
     one, two = (lmscore.chunks(np.concatenate([x, shared])) for x in (a, b))
-    assert len(set(zip(one[1].tolist(), one[2].tolist())) & set(zip(two[1].tolist(), two[2].tolist()))) > 20
+    assert len(set(zip(one[1].tolist(), one[2].tolist())) & set(zip(two[1].tolist(), two[2].tolist()))) > 8
     assert [len(x) for x in lmscore.chunks(np.zeros(0, np.uint64))] == [0, 0, 0]
 
 
@@ -100,7 +98,7 @@ def test_lm_tells_copied_texts_and_unseen_ones(spark):
     """Held-out texts do better than the unigram on what it can say, its known words; copies cost next to nothing."""
     rng = np.random.default_rng(8)
     draw = lambda lang, n: " ".join(f"{lang}{k}" for k in rng.zipf(1.3, n) % 500)
-    texts = [draw("ab"[k % 2], 200) for k in range(300)]
+    texts = [draw("ab"[k % 2], 500) for k in range(300)]
     texts += texts[:20]
     got = {r.doc_id: r for r in lmscore.score_texts(frame(spark, texts), F.col("doc_id") % 5 != 1).collect()}
     fresh = [got[k] for k in range(20, 300) if k % 5 == 1]
