@@ -6,8 +6,9 @@ block.  Its ids are dealt to up to 1,024 interleaved lanes, each a 64-bit rANS
 state that gives off 32-bit words; one numpy step codes an id of every lane.
 
 The token file is a folder with ``blocks`` (Parquet rows, written by Spark's
-commit protocol, so that a task that is run again leaves no half-written block)
-and ``table`` (the frequencies).  A block is a binary record that can be
+commit protocol, so that a task that is run again leaves no half-written block;
+files in the order of their names, and rows in the order in which they stand,
+give the ids in ascending order of documents) and ``table`` (the frequencies).  A block is a binary record that can be
 decoded with the table alone, in any order and place:
 
     magic 'RNB1', lanes, documents, ids, words      4 x u32 after the magic
@@ -20,7 +21,8 @@ verifies all checksums and raises on any difference.
 
 Defined results: a null or empty text is its end id alone; null ids sort first
 and rows with equal ids by their texts' hash; an empty table gives a file
-without blocks.
+without blocks; a document is never cut, so one very long text is one large
+block.
 """
 
 from __future__ import annotations
@@ -37,13 +39,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lakemill.llm.runs import FIRST, SECOND, STRETCH, spans, stretches
 from lakemill.llm.workspace import save, shared_dir, small_batches, text_bytes
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
 BLOCK_IDS = 1 << 18
 MOST_LANES = 1024
-REMEMBERED = 1_000_000
+#: Places for pieces that a worker remembers, half of which may be taken, and the bytes of the longest of them.
+PLACE_BITS, SHORT, MARKS = 21, 64, 20_000
+PLACES = 1 << PLACE_BITS
 #: New words that are encoded as one text.
 TOGETHER = 500
 _MARKS = string.punctuation.encode()
@@ -146,21 +151,76 @@ def unpack_block(record: bytes, table: Table) -> Iterator[tuple[int | None, int,
         begin += length
 
 
+class PieceTable:
+    """Ids of short pieces by 128 bits of hash, in arrays: open addressing over a power of two of places."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.n, self.used = 0, 0
+        self.place = np.full(PLACES, -1, np.int32)
+        self.keys = np.zeros((2, PLACES // 2), np.uint64)
+        self.start, self.size = np.zeros(PLACES // 2, np.int64), np.zeros(PLACES // 2, np.int64)
+        self.ids = np.zeros(1 << 16, np.uint32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The index of each key (two rows), or -1."""
+        out, rest = np.full(keys.shape[1], -1, np.int64), np.arange(keys.shape[1])
+        at = (keys[0] >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+        while len(rest):
+            found = self.place.take(at)
+            same = (self.keys[0].take(found, mode="clip") == keys[0].take(rest)) & (self.keys[1].take(found, mode="clip") == keys[1].take(rest)) & (found >= 0)
+            out[rest[same]] = found[same]
+            more = np.flatnonzero((found >= 0) & ~same)
+            rest, at = rest[more], (at[more] + 1) % PLACES
+        return out
+
+    def add(self, keys: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
+        """Take up new and different keys; their indices."""
+        index = np.arange(self.n, self.n + len(ids))
+        self.keys[:, index] = keys
+        size = np.array([len(x) for x in ids], np.int64)
+        self.size[index], self.start[index] = size, self.used + np.cumsum(size) - size
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.n += len(ids)
+        at, rest = (keys[0] >> np.uint64(64 - PLACE_BITS)).astype(np.int64), index
+        while len(rest):
+            free = self.place.take(at) < 0
+            self.place[at[free]] = rest[free]
+            # Of those that met in one place the last has it.
+            out = np.flatnonzero(self.place.take(at) != rest)
+            rest, at = rest[out], (at[out] + 1) % PLACES
+        return index
+
+    def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces end to end, how many ids each has)."""
+        size = self.size.take(index)
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids.take(np.arange(total) + np.repeat(self.start.take(index) - ends + size, size)), size
+
+
 class PieceEncoder:
     """The tokenizers library over the pieces between ASCII white space.
 
     This vocabulary's pre-tokenizer drops white space and never looks across
-    it, so a text's ids are those of its pieces; each distinct piece is encoded
-    once per worker.  A word with marks before or behind it is three tokens of
-    the pre-tokenizer: marks, word, marks.  New words are encoded many at a
-    time, as one text, and told apart by the word-end mark of their last id.
+    it, so a text's ids are those of its pieces; each distinct piece of up to
+    ``SHORT`` bytes is encoded once per worker and then found by its hash.  A
+    word with marks before or behind it is three tokens of the pre-tokenizer:
+    marks, word, marks.  New words are encoded many at a time, as one text, and
+    told apart by the word-end mark of their last id.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.memo: dict[bytes, bytes] = {b"": b""}
+        self.table = PieceTable()
         self.marks: dict[bytes, bytes] = {b"": b""}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -171,12 +231,15 @@ class PieceEncoder:
 
     def _mark(self, run: bytes) -> bytes:
         if run not in self.marks:
+            if len(self.marks) > MARKS:
+                self.marks = {b"": b""}
             self.marks[run] = self._ids(run)
         return self.marks[run]
 
-    def _learn(self, new: set[bytes]) -> None:
-        """Remember the ids of new pieces."""
-        memo, apart, single = self.memo, [], []
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        """The ids of new pieces."""
+        memo: dict[bytes, bytes] = {}
+        apart, single = [], []
         for p in new:
             word = p.strip(_MARKS)
             at = p.find(word)
@@ -185,7 +248,7 @@ class PieceEncoder:
                 apart.append((p, at, word))
             else:
                 single.append(p)
-        words = list({w for _, _, w in apart if w not in memo})
+        words = list({w for _, _, w in apart})
         runs = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
         found = self.tokenizer.encode_batch_fast([b" ".join(r).decode() for r in runs], add_special_tokens=False)
         for run, e in zip(runs, found):
@@ -207,22 +270,50 @@ class PieceEncoder:
                 memo[p] = (get(before) or mark(before)) + memo[word] + (get(behind) or mark(behind))
         for p in single:
             memo[p] = self._ids(p)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        return [memo[p] for p in new]
+
+    def _group(self, texts: list[bytes]) -> list[np.ndarray]:
+        blob = b"\n".join(texts)
+        line = np.frombuffer(blob, np.uint8)
+        start, end = spans(line)
+        cuts = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
+        keys = np.stack([FIRST.words(line, start, end), SECOND.words(line, start, end)])
+        if self.table.n + len(start) > PLACES // 2:
+            self.table.clear()
+        index = self.table.find(keys)
+        far = end - start > SHORT
+        new = np.flatnonzero((index < 0) & ~far)
+        if len(new):
+            _, first, like = np.unique(keys[0, new] ^ (keys[1, new] * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
+            at = new[first]
+            pieces = [blob[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
+            index[new] = self.table.add(keys[:, at], [np.frombuffer(x, "<u4") for x in self._learn(pieces)])[like]
+        index[far] = 0
+        flat, size = self.table.gather(index)
+        stops = np.cumsum(size)
+        if far.any():
+            # Long pieces aren't remembered; each is encoded where it stands.
+            out, done = [], 0
+            for k in np.flatnonzero(far).tolist():
+                out += [flat[done : stops[k] - size[k]], np.frombuffer(self._ids(blob[start[k] : end[k]]), "<u4")]
+                done = stops[k]
+                size[k] = len(out[-1])
+            flat, stops = np.concatenate([*out, flat[done:]]), np.cumsum(size)
+        return np.split(flat, np.append(0, stops)[cuts[:-1]])
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
         # The vocabulary has lower case only; for ASCII letters that is done here,
         # unless that could make a special token of ordinary text.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.memo) > REMEMBERED or len(self.marks) > REMEMBERED:
-            self.memo, self.marks = {b"": b""}, {b"": b""}
-        # Most pieces are known: each is looked up once, and only the others again.
-        found = [list(map(self.memo.get, ps)) for ps in split]
-        gaps = [[k for k, v in enumerate(vs) if v is None] if None in vs else () for vs in found]
-        self._learn({ps[k] for ps, at in zip(split, gaps) for k in at})
-        for ps, vs, at in zip(split, found, gaps):
-            for k in at:
-                vs[k] = self.memo[ps[k]]
-        return [b"".join(vs) for vs in found]
+        texts = [t if b"<|" in t else t.lower() for t in texts]
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        for which, parts in stretches(texts):
+            if len(parts[0]) > STRETCH:
+                out[which[0]].append(np.frombuffer(self._ids(parts[0]), "<u4"))
+                continue
+            for k, found in zip(which, self._group(parts)):
+                out[k].append(found)
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.uint32) for x in out]
 
 
 def _plain_word(word: bytes) -> bool:
@@ -250,15 +341,15 @@ def token_rows(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: s
     """(part, at, id, ids): documents in ascending order; at: ids before it in its part."""
     small_batches(docs.sparkSession)
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, docs.select(id_col).rdd.getNumPartitions())
-    end = np.asarray([end_id], "<u4").tobytes()
+    end = np.asarray([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at = piece_encoder(path), 0
         for batch in batches:
-            ids = [x + end for x in encoder.encode(batch.column(2).to_pylist())]
-            starts = at + np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64)
+            ids = encoder.encode(batch.column(2).to_pylist())
+            starts = at + np.concatenate([[0], np.cumsum([len(x) + 1 for x in ids])]).astype(np.int64)
             at = int(starts[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts[:-1], pa.int64()), batch.column(1), pa.array(ids, pa.binary())], names=["part", "at", "id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts[:-1], pa.int64()), batch.column(1), pa.array([np.append(x, end).astype("<u4").tobytes() for x in ids], pa.binary())], names=["part", "at", "id", "ids"])
 
     text = text_bytes(text_col).alias("text")
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), text).repartitionByRange(parts, "id").sortWithinPartitions("id", F.crc32("text"))
@@ -323,7 +414,10 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_co
         if held:
             yield flush()
 
-    rows.mapInArrow(run, "first long, record binary").write.option("compression", "none").parquet(f"{folder}/blocks")
+    # Each file holds a range of the corpus, the first file the first, and its blocks in order.
+    files = max(1, len(parts))
+    packed = rows.mapInArrow(run, "first long, record binary").repartitionById(files, F.least(F.floor(F.col("first") * files / max(1, total)), F.lit(files - 1)).cast("int")).sortWithinPartitions("first")
+    packed.write.option("compression", "none").parquet(f"{folder}/blocks")
     spark.createDataFrame([(vocabulary, end_id, freq.astype("<u4").tobytes())], "vocabulary int, end_id int, freq binary").coalesce(1).write.parquet(f"{folder}/table")
 
 

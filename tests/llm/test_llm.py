@@ -1,11 +1,13 @@
 """Each operator against brute force, a round trip or held-out accuracy, and its odd inputs."""
 
+import glob
 import hashlib
 import math
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq_file
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -244,7 +246,36 @@ def test_piece_encoder_on_odd_text():
     samples = ["İ, x", "a<|endoftext|>b <|ENDOFTEXT|>", "'sword ('S don't", "́abc क़, ≮", "日本語。 ΣΑΣ"]
     samples += ["".join(rng.choice("aBé'İ.,!<|>x9 \t́Σñ- 日") for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
     for s in samples:
-        assert e.encode([s.encode()])[0] == np.asarray(e.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes(), s
+        assert e.encode([s.encode()])[0].tolist() == e.tokenizer.encode(s, add_special_tokens=False).ids, s
+
+
+def test_pieces_of_many_texts_at_once(monkeypatch):
+    """Batches, long pieces, texts cut into stretches and a table that has to be cleared."""
+    e, rng = rans.PieceEncoder(rans.default_vocabulary()), np.random.default_rng(9)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 6, rng.integers(1, 9))) + "!,"[: rng.integers(0, 3)] for _ in range(400)) for _ in range(20)]
+    texts += ["", "z" * 300, "a " + "long" * 90 + " b", "Ü" * 70 + " end"]
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for stretch, places in ((runs.STRETCH, rans.PLACES), (100, rans.PLACES), (5000, 1 << 12)):
+        monkeypatch.setattr(runs, "STRETCH", stretch)
+        monkeypatch.setattr(rans, "STRETCH", stretch)
+        monkeypatch.setattr(rans, "PLACES", places)
+        monkeypatch.setattr(rans, "PLACE_BITS", places.bit_length() - 1)
+        e.table.clear()
+        assert [x.tolist() for x in e.encode([t.encode() for t in texts])] == want
+
+
+def test_token_file_is_in_order(spark, rows):
+    folder = rans.new_folder(spark)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rans.write_tokens(spark.read.parquet(f"{SF}/documents.parquet"), rans.default_vocabulary(), folder)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    blocks = folder.removeprefix("file://") + "/blocks"
+    table = rans.Table(np.frombuffer(spark.read.parquet(f"{folder}/table").first()["freq"], "<u4").astype(np.int64))
+    found = [x for f in sorted(glob.glob(f"{blocks}/part-*.parquet")) for r in pq_file.read_table(f).column("record").to_pylist() for x in rans.unpack_block(r, table)]
+    assert [x[0] for x in found] == sorted(rows)
+    assert [x[1] for x in found] == np.cumsum([0, *(len(x[2]) for x in found[:-1])]).tolist()
 
 
 def test_damaged_block_is_refused():
