@@ -652,7 +652,9 @@ def _repeats(scored: DataFrame) -> DataFrame:
     met = flat.groupBy("context").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("train"), F.col("m")).otherwise(0)).alias("n")).where("rows > 1 and n > 0")
     flat = save(flat.join(save(met.select("context", "n"), "met-contexts").hint("merge"), "context"), "met-chunks")
     pairs = save(flat.groupBy("context", "chunk").agg(F.sum(F.when(F.col("train"), F.col("m")).otherwise(0)).alias("c")), "chunk-pairs")
+    # Written first: else a context with many chunks is joined in the task that counts it.
     kinds = pairs.groupBy("context").agg(F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("d"))
+    kinds = save(kinds, "chunk-kinds")
     counted = save(pairs.join(kinds.hint("merge"), "context"), "chunk-counts")
     found = flat.join(counted.hint("merge"), ["context", "chunk"])
     return found.groupBy("row").agg(F.collect_list(F.struct("k", "c", "n", "d")).alias("repeats"))
@@ -724,22 +726,25 @@ def score_texts(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_co
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
-            tails, repeats = _struct_lists(get("tail")), _struct_lists(get("repeats"))
-            known, base, score = [], [], []
-            for n, a, log, raw, own, train, t, p in zip(*(get(c).to_pylist() for c in ("n_tokens", "head_known", "head_log", "bits", "own", "train")), tails, repeats):
-                bits = np.frombuffer(raw, "<f4").astype(float)
-                if t is not None:
-                    k, spelt, c = t
-                    log += float(np.log10(c + 0.5).sum())
-                    a += int((c > 0).sum())
-                    cost = np.where(c > 0, np.log2((1 - new) * np.maximum(c, 1) / in_tail), np.log2(new) + spelt)
-                    bits += np.bincount(k, cost, len(bits))
-                if p is not None:
-                    own = np.frombuffer(own, "<i4").reshape(3, -1) if own else np.stack([np.arange(len(bits) - 1), *np.ones((2, len(bits) - 1), int)])
-                    bits[1:] = _copied(bits[1:], own, train, *p)
-                known.append(a)
-                base.append(log - n * log_all)
-                score.append(float(bits.sum()) * float(np.log10(2)))
+            raw = get("bits").to_pylist()
+            if not raw:
+                continue
+            size = np.array([len(x) // 4 for x in raw])
+            begin, bits = np.cumsum(size) - size, np.frombuffer(b"".join(raw), "<f4").astype(float)
+            row, (k, spelt, c) = _struct_lists(get("tail"))
+            known = get("head_known").to_numpy() + np.bincount(row, c > 0, len(raw)).astype(np.int64)
+            log = get("head_log").to_numpy() + np.bincount(row, np.log10(c + 0.5), len(raw))
+            cost = np.where(c > 0, np.log2((1 - new) * np.maximum(c, 1) / in_tail), np.log2(new) + spelt)
+            bits += np.bincount(begin[row] + k, cost, len(bits))
+            row, found = _struct_lists(get("repeats"))
+            ends = np.searchsorted(row, np.arange(len(raw) + 1))
+            own, train = get("own"), get("train")
+            for r in np.flatnonzero(np.diff(ends)).tolist():
+                part, n = slice(begin[r] + 1, begin[r] + size[r]), size[r] - 1
+                alike = np.frombuffer(own[r].as_py(), "<i4")
+                alike = alike.reshape(3, -1) if len(alike) else np.stack([np.arange(n), np.ones(n, int), np.ones(n, int)])
+                bits[part] = _copied(bits[part], alike, train[r].as_py(), *(f[ends[r] : ends[r + 1]] for f in found))
+            score, base = np.add.reduceat(bits, begin) * float(np.log10(2)), log - get("n_tokens").to_numpy() * log_all
             yield pa.RecordBatch.from_arrays([get("id"), get("n_bytes"), get("n_tokens"), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=[id_col, "n_bytes", "n_tokens", "n_known", "base_score", "score"])
 
     done = out.mapInArrow(finish, f"`{id_col}` {kind}, n_bytes long, n_tokens long, n_known long, base_score double, score double")
@@ -784,14 +789,8 @@ def _lists(kind: pa.DataType, sizes: list[int], columns: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values).cast(kind)
 
 
-def _struct_lists(lists: pa.Array) -> Iterator[tuple[np.ndarray, ...] | None]:
-    """Each list of structs as arrays of its fields; None for a null."""
+def _struct_lists(lists: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(row, fields) of all structs in the lists; a null list has none."""
     values = lists.flatten()
-    fields = [values.field(k).to_numpy(zero_copy_only=False) for k in range(values.type.num_fields)]
-    at = 0
-    for size in lists.value_lengths().to_pylist():
-        if size is None:
-            yield None
-        else:
-            yield tuple(f[at : at + size] for f in fields)
-            at += size
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(size)), size), [values.field(k).to_numpy(zero_copy_only=False) for k in range(values.type.num_fields)]
