@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 #: Bytes of text that are read at once.
 STRETCH = 1 << 22
@@ -89,3 +90,27 @@ def stretches(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
         size += len(text) - at + 1
     if parts:
         yield which, parts
+
+
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """Of each text the hashes of its words, A-Z in lower case."""
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    for which, parts in stretches(texts):
+        if len(parts[0]) > STRETCH:
+            out[which[0]].append(np.array([xxhash.xxh64_intdigest(parts[0].lower())], np.uint64))
+            continue
+        line = np.frombuffer(b"\n".join(parts).lower(), np.uint8)
+        start, end = spans(line)
+        cuts = np.searchsorted(start, np.cumsum([len(t) + 1 for t in parts[:-1]]))
+        for k, found in zip(which, np.split(FIRST.words(line, start, end), cuts)):
+            out[k].append(found)
+    return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
+
+
+def shingle_kinds(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """Of each text the different hashes of its runs of shingle words, in order; of all its words if it has fewer."""
+    out = []
+    for h in word_hashes(texts):
+        at = np.arange(max(min(1, len(h)), len(h) - shingle + 1))
+        out.append(np.unique(FIRST.runs(h, at, np.minimum(at + shingle, len(h)))))
+    return out

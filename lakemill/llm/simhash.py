@@ -46,6 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakemill.llm.components import components
+from lakemill.llm.runs import shingle_kinds
 from lakemill.llm.workspace import save, small_batches, text_bytes, words
 
 BUCKET = 48
@@ -83,20 +84,18 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(ones * 2 > len(hashes)).view(">i8")[0])
 
 
-_MINHASH = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+_FACTOR, _TERM = np.random.default_rng(7).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
+_FACTOR |= np.uint32(1)
 
 
-def band_keys(text: bytes, shingle: int) -> tuple[int, list[int]]:
-    """How many distinct shingles a text has, and the hash of each band of their minima."""
-    kinds = np.unique(shingle_hashes(text, shingle))
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(kinds), _CHUNK):
-        part = kinds[at : at + _CHUNK]
-        for k, (factor, term) in enumerate(_MINHASH.T):
-            mixed = (part ^ term) * (factor | np.uint64(1))
-            least[k] = min(least[k], ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)).min())
-    rows = least.reshape(BANDS, ROWS)
-    return len(kinds), [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(rows)]
+def band_keys(kinds: np.ndarray) -> list[int]:
+    """The hash of each band of minima of a text's distinct shingles."""
+    least = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
+    short = (kinds >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), _CHUNK >> 3):
+        # The shingles' hashes are random, so a product and a mask order them anew in each row.
+        least = np.minimum(least, ((short[at : at + (_CHUNK >> 3)] * _FACTOR) ^ _TERM).min(axis=1))
+    return [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(least.reshape(BANDS, ROWS))]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,9 +173,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_co
     return prints.join(save(classes, "membership"), "fp").select(id_col, "fp", "component_id")
 
 
-def jaccard(a: bytes, b: bytes, shingle: int) -> float:
-    """Similarity of the sets of shingles of two texts; two texts without words are alike."""
-    x, y = (np.unique(shingle_hashes(t, shingle)) for t in (a, b))
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two sets of shingles; those of two texts without words are alike."""
     if not len(x) and not len(y):
         return 1.0
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -184,21 +182,28 @@ def jaccard(a: bytes, b: bytes, shingle: int) -> float:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, verify: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar.
+    """The pairs (a, b) of nodes whose texts are similar; texts has one row for each node.
 
     The joins are the same at every size: a small input must not flip to a
     broadcast of texts that a large one can't have.
     """
-    wanted = save(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
-    held = save(texts.join(wanted.hint("merge"), "node").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [jaccard(x, y, verify) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts, places = [], {}
+            sides = []
+            for k in (0, 1):
+                for node, text in zip(batch.column(k).to_pylist(), batch.column(k + 2).to_pylist()):
+                    if node not in places:
+                        places[node] = len(texts)
+                        texts.append(text)
+                sides.append([places[node] for node in batch.column(k).to_pylist()])
+            kinds = shingle_kinds(texts, verify)
+            ok = [jaccard(kinds[x], kinds[y]) >= similarity for x, y in zip(*sides)]
             part = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"])
 
-    sides = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
     return save(sides.select("a", "b", "ta", "tb").mapInArrow(judge, "a binary, b binary"), "similar")
 
 
@@ -238,18 +243,20 @@ def near_duplicates(docs: DataFrame, verify: int = 5, similarity: float = 0.8, i
     """
     small_batches(docs.sparkSession)
     rows = save(docs.withColumn("__sh_row", F.monotonically_increasing_id()).withColumn("__sh_node", F.unhex(F.sha2(text_bytes(text_col), 256))), "rows")
-    texts = rows.select(F.col("__sh_node").alias("node"), text_bytes(text_col).alias("text"))
+    # Copies meet before the shuffle: each task sends a text once.
+    texts = rows.select(F.col("__sh_node").alias("node"), text_bytes(text_col).alias("text")).groupBy("node").agg(F.first("text").alias("text"))
+    texts = save(texts, "distinct-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [band_keys(t, verify) for t in batch.column(1).to_pylist()]
-            sizes, keys = [n for n, _ in found], [k for _, k in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "n", "keys"])
+            kinds = shingle_kinds(batch.column(1).to_pylist(), verify)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, kinds), pa.int64()), pa.array(map(band_keys, kinds), pa.list_(pa.int64()))], names=["node", "n", "keys"])
 
-    prints = texts.mapInArrow(run, "node binary, n long, keys array<long>").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    flat = save(prints, "bands").select("node", "n", F.explode("keys").alias("key"))
+    prints = save(texts.mapInArrow(run, "node binary, n long, keys array<long>"), "bands")
+    flat = prints.select("node", "n", F.explode("keys").alias("key"))
     shared = save(flat.groupBy("key").count().where("count > 1").select("key"), "shared-bands")
-    bands = save(flat.join(shared, "key", "left_semi"), "met-bands")
+    bands = save(flat.join(shared.hint("merge"), "key", "left_semi"), "met-bands")
+    texts = save(texts.join(save(bands.select("node").distinct(), "wanted").hint("merge"), "node"), "candidate-texts")
     labels = components(_similar(bands, texts, verify, similarity))
     slim = rows.select("__sh_row", F.col(id_col).alias("id"), F.col("__sh_node").alias("node")).join(labels, "node", "left")
     first = slim.groupBy(F.coalesce("label", "node").alias("group")).agg(F.min(F.struct("id", "__sh_row")).alias("best"))
