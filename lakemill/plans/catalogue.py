@@ -136,6 +136,48 @@ PAIRS: dict[str, tuple[str, str]] = {
     ),
     "offset_fetch": ("SELECT s_suppkey FROM supplier ORDER BY s_suppkey OFFSET 10 ROWS FETCH NEXT 5 ROWS ONLY", "SELECT s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 5 OFFSET 10"),
     "limit_all": ("SELECT s_suppkey FROM supplier ORDER BY s_suppkey LIMIT ALL", "SELECT s_suppkey FROM supplier"),
+    "sql_division": (
+        "SELECT p_partkey, p_size / 7 AS q, p_size / (p_partkey % 5) AS z, p_retailprice / (p_partkey % 5) AS d, 2 * p_size / 4 AS c, p_size % (p_partkey % 3) AS m FROM part",
+        "SELECT p_partkey, (p_size // 7)::DOUBLE AS q, (p_size // nullif(p_partkey % 5, 0))::DOUBLE AS z, p_retailprice / nullif(p_partkey % 5, 0) AS d, (2 * p_size // 4)::DOUBLE AS c, p_size % nullif(p_partkey % 3, 0) AS m FROM part",
+    ),
+    "sql_functions": (
+        "SELECT p_partkey, concat(p_name, nullif(p_type, 'PROMO'), '|') AS c, substr(p_name, -2, 3) AS s, greatest(p_size, nullif(p_partkey % 2, 0)) AS g, iif(p_size > 20, 'large', 'small') AS i FROM part",
+        "SELECT p_partkey, concat(p_name, nullif(p_type, 'PROMO'), '|') AS c, substring(p_name, 1, 3) AS s, CASE WHEN p_partkey % 2 <> 0 THEN greatest(p_size, 1) END::BIGINT AS g, CASE WHEN p_size > 20 THEN 'large' ELSE 'small' END AS i FROM part",
+    ),
+    "sql_dates": (
+        "SELECT o_orderkey, strftime('%d/%m/%Y %H:%M', o_orderdate) AS f, strftime('%w', o_orderdate) AS w, date_diff('day', TIMESTAMP '1998-06-15 12:00:00', o_orderdate) AS n FROM orders",
+        "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y %H:%M') AS f, strftime(o_orderdate, '%w') AS w, floor((epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1998-06-15 12:00:00')) / 86400000000)::BIGINT AS n FROM orders",
+    ),
+    "sql_total": ("SELECT o_orderstatus, total(o_custkey) AS t, total(nullif(o_custkey, o_custkey)) AS z FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, sum(o_custkey)::DOUBLE AS t, 0.0::DOUBLE AS z FROM orders GROUP BY o_orderstatus"),
+    "sql_array_agg": (
+        "SELECT n_regionkey, array_agg(nullif(n_nationkey, 7) ORDER BY n_nationkey DESC) AS a, array_agg(DISTINCT n_nationkey % 3) AS d FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, replace(to_json(list(nullif(n_nationkey, 7) ORDER BY n_nationkey DESC))::VARCHAR, ' ', '') AS a, replace(to_json(list(DISTINCT n_nationkey % 3 ORDER BY n_nationkey % 3))::VARCHAR, ' ', '') AS d FROM nation GROUP BY n_regionkey",
+    ),
+    "sql_collate": ("SELECT p_partkey FROM part WHERE p_type COLLATE NOCASE = 'promo'", "SELECT p_partkey FROM part WHERE lower(p_type) = 'promo'"),
+    "sql_series": ("SELECT n_nationkey, g.x FROM nation JOIN generate_series(1, 10, 3) AS g(x) ON g.x < n_nationkey", "SELECT n_nationkey, g.x::INT AS x FROM nation JOIN generate_series(1, 10, 3) AS g(x) ON g.x < n_nationkey"),
+    "sql_series_down": ("SELECT x FROM generate_series(9, 1, -4) AS g(x)", "SELECT x::INT AS x FROM generate_series(9, 1, -4) AS g(x)"),
+    "sql_json_each": (
+        "SELECT e.event_id, j.key, j.value, j.type FROM events e, json_each(e.props) j",
+        "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value, 'integer' AS type FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL",
+    ),
+    "sql_json_functions": (
+        "SELECT event_id, json_extract(props, '$.k') AS k, json_type(props, '$.k') AS t, json_valid(event_type) AS v FROM events",
+        "SELECT event_id, json_extract_string(props, '$.k') AS k, CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'integer' END AS t, json_valid(event_type) AS v FROM events",
+    ),
+    "sql_any_all_equal": (
+        "SELECT c_custkey, c_nationkey <> ANY (SELECT s_nationkey FROM supplier) AS a, c_nationkey = ALL (SELECT r_regionkey FROM region WHERE r_regionkey = 3) AS b FROM customer",
+        "SELECT c_custkey, c_nationkey <> (SELECT min(s_nationkey) FROM supplier) OR c_nationkey <> (SELECT max(s_nationkey) FROM supplier) AS a, c_nationkey = 3 AS b FROM customer",
+    ),
+    "sql_like_backslash": ("SELECT n_nationkey, ('a\\b' LIKE 'a\\b') AS m, length('a\\b') AS n FROM nation", "SELECT n_nationkey, true AS m, 3 AS n FROM nation"),
+    "distinct_on_limit": (
+        "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey DESC, o_orderkey LIMIT 5",
+        "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey ORDER BY o_custkey DESC LIMIT 5",
+    ),
+    "distinct_on_nested": (
+        "SELECT count(*) AS n, sum(d.o_orderkey) AS s FROM (SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderkey) AS d WHERE d.o_custkey % 2 = 0",
+        "SELECT count(*) AS n, sum(k)::BIGINT AS s FROM (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY o_custkey) WHERE o_custkey % 2 = 0",
+    ),
+    "fetch_without_offset": ("SELECT s_suppkey FROM supplier ORDER BY s_suppkey DESC FETCH FIRST 4 ROWS ONLY", "SELECT s_suppkey FROM supplier ORDER BY s_suppkey DESC LIMIT 4"),
     "json_arrows": ("SELECT event_id, CAST(props ->> 'k' AS BIGINT) AS k, props -> '$.k' AS j FROM events", "SELECT event_id, CAST(props ->> 'k' AS BIGINT) AS k, CAST(props -> '$.k' AS VARCHAR) AS j FROM events"),
 }
 

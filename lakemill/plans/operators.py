@@ -473,7 +473,7 @@ def windowed_counts(spark, d):
     return changes.windowed_counts(table(spark, d, "events"), "ts", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@_query()
+@_query("SELECT event_type, count(*) AS count FROM events WHERE value > 10 GROUP BY event_type")
 def stream_changes(spark, d):
     """A stream over the events' file, run to its end: counts by kind from each batch."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
