@@ -85,7 +85,7 @@ def repeated_lines(docs: DataFrame, spread: int = SPREAD, min_lines: int = MIN_L
     every = items.select("id", "th", F.explode("items").alias("i")).select("id", "th", "i.whole", "i.pos", "i.n", "i.hash")
     first = F.min(F.struct("id", "th", "pos")).alias("first")
     last = F.max(F.struct("id", "th", "pos")).alias("last")
-    hashes = save(every.groupBy("hash").agg(first, last).where("first <> last").select("hash"), "repeated")
+    hashes = save(every.groupBy("hash").count().where("count > 1").select("hash"), "repeated")
     # The joins are the same at every size: a small input must not flip to a broadcast that a large one can't have.
     asked = every.join(hashes.hint("merge"), "hash").groupBy("id", "th").agg(F.collect_set(F.struct("whole", "pos", "n", "hash")).alias("items"))
     asked = save(asked, "candidates").select(F.col("id").alias("a_id"), F.col("th").alias("a_th"), "items")
@@ -94,9 +94,10 @@ def repeated_lines(docs: DataFrame, spread: int = SPREAD, min_lines: int = MIN_L
     line = lambda k: F.element_at("lines", F.col("i.pos") + k)
     few = ~F.col("i.whole")
     met = met.select("id", "th", "i.whole", "i.pos", "i.n", "i.hash", F.array_join(F.slice("lines", F.col("i.pos"), F.col("i.n")), "\n").alias("chunk"), F.when(few, _words(line(0))).alias("words"), F.when(few, _words(line(1))).alias("next_words"))
-    met = save(met, "candidate-lines")
-    kept = save(met.groupBy("whole", "hash", "chunk").agg(first, last).where("first <> last").select("whole", "hash", "chunk", "first"), "kept-lines")
-    again = met.join(kept.hint("merge"), ["whole", "hash", "chunk"]).where(F.struct("id", "th", "pos") != F.col("first"))
+    met = save(met.withColumn("digest", F.unhex(F.sha2("chunk", 256))), "candidate-lines")
+    # Bytes are compared here; a digest stands for them in the join, so that texts are sent once.
+    kept = save(met.groupBy("whole", "digest", "chunk").agg(first, last).where("first <> last").select("whole", "digest", "first"), "kept-lines")
+    again = met.drop("chunk").join(kept.hint("merge"), ["whole", "digest"]).where(F.struct("id", "th", "pos") != F.col("first"))
     again = save(again.select("id", "th", "whole", "pos", "n", "words", "next_words").distinct(), "again")
     # Pairs that follow each other are one run; a text's pairs are few, so the window holds no more than a text.
     run = F.col("pos") - F.row_number().over(W.partitionBy("id", "th").orderBy("pos"))
