@@ -77,8 +77,6 @@ NODE_SHARE = 2.0**-10
 PART = 1 << 14
 LANE_TOKENS = 60_000
 FLUSH = 400_000
-#: Context slots that are gathered before they are counted.
-GATHERED = 1 << 22
 SALTS = 16
 CHUNK_WORDS = 24
 DISCOUNT = 0.5
@@ -90,6 +88,8 @@ ORDERS = (1, 3, 5)
 _BEFORE = bytes(ORDERS[-1])
 _MULT = np.uint32(0x9E3779B1)
 _BINS = 24
+#: How far a cell of the probability map moves after so many bits; a step has far fewer bits for one cell.
+_LEARNT = 1 - (1 - MAP_RATE) ** np.arange(1 << 14)
 _END_HASH = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -288,12 +288,8 @@ def _run_of(texts: list[Tokens], coder: Coder) -> tuple[np.ndarray, np.ndarray,
     return symbol, one, two, size
 
 
-#: The logit of a packed slot: steps of 1/256 above the confidence (0 to 3) in the low two bits.
-_LOGIT = ((np.arange(1 << 16) >> 2) / 256 - 32).astype(np.float32)
-
-
 class Tables:
-    """Of every slot the logit and the confidence."""
+    """Of every slot the logit and the confidence: steps of 1/256 from -32 above two low bits for the confidence (0 to 3)."""
 
     def __init__(self, zeros: np.ndarray, ones: np.ndarray) -> None:
         logit = np.log((ones + 0.4) / (zeros + 0.4))
@@ -306,31 +302,22 @@ class Tables:
         gate = np.zeros(len(slots[0]), np.int64)
         for k, s in enumerate(slots):
             found = self.packed.take(s)
-            _LOGIT.take(found, out=x[k], mode="clip")
+            np.multiply(found >> np.uint16(2), np.float32(1 / 256), out=x[k])
             if k:
                 gate = gate * 4 + (found & np.uint16(3))
+        x -= np.float32(32)
         return x, gate
 
 
 class SlotCounts:
-    """Zeros and ones of the slots: bits are gathered and then counted together."""
+    """Zeros and ones of the slots, counted in place."""
 
     def __init__(self, slots: int) -> None:
         self.sums = np.zeros(2 * slots, np.uint32)
-        self.held: list[np.ndarray] = []
-        self.n = 0
 
     def add(self, bit: np.ndarray, slots: list[np.ndarray]) -> None:
         for s in slots:
-            self.held.append(s * 2 + bit)
-            self.n += len(s)
-        if self.n > GATHERED:
-            self.flush()
-
-    def flush(self) -> None:
-        if self.n:
-            self.sums += np.bincount(np.concatenate(self.held), minlength=len(self.sums)).astype(np.uint32)
-            self.held, self.n = [], 0
+            np.add.at(self.sums, s * 2 + bit, np.uint32(1))
 
 
 def starting_weights(spelling: bool) -> np.ndarray:
@@ -388,9 +375,10 @@ class Lanes:
         near = cell + (z > 0.5)
         n = np.bincount(near, minlength=flat.size)
         some = np.flatnonzero(n)
-        count = n[some]
-        mean = np.bincount(near, real, flat.size)[some] / count
-        flat[some] += (1 - (1 - MAP_RATE) ** count) * (mean - flat[some])
+        count = n.take(some)
+        mean = np.bincount(near, real, flat.size).take(some) / count
+        old = flat.take(some)
+        flat[some] = old + _LEARNT.take(count, mode="clip") * (mean - old)
         return out
 
 
@@ -490,8 +478,10 @@ def _count_words(counts: Counter, blob: bytes) -> None:
     counts.update([blob[a:b] for a, b in zip(start[long].tolist(), end[long].tolist())])
     start, end = start[~long], end[~long]
     _, first, n = np.unique(FIRST.words(line, start, end), return_index=True, return_counts=True)
+    before = counts.get
     for a, b, k in zip(start[first].tolist(), end[first].tolist(), n.tolist()):
-        counts[blob[a:b]] += k
+        word = blob[a:b]
+        counts[word] = before(word, 0) + k
 
 
 def token_counts(train: DataFrame) -> DataFrame:
@@ -594,7 +584,6 @@ def context_tables(train: DataFrame, coder_sent) -> Tables:
                 part = slice(a, a + LANE_TOKENS)
                 _, bit, slots = coder.bits(symbol[part], one[part], two[part])
                 counts.add(bit, slots[1:])
-        counts.flush()
         if any_:
             sums = counts.sums.reshape(-1, 2)
             # The nodes' own counts follow from those of the symbols.
@@ -634,7 +623,6 @@ def letter_tables(tail: DataFrame) -> tuple[Speller, Tables]:
                     part, n = [], 0
             if part:
                 counts.add(*speller.bits(part)[1:])
-        counts.flush()
         if any_:
             yield from _parts(np.ascontiguousarray(counts.sums.reshape(-1, 2).T))
 

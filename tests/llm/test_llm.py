@@ -71,7 +71,6 @@ def test_lm_paths_are_probabilities():
         assert len(node) == len(bit) == length.sum()
     found = lmscore.SlotCounts(16)
     found.add(np.array([1, 0, 1], np.uint8), [np.array([7, 7, 7])])
-    found.flush()
     assert found.sums[14:16].tolist() == [1, 2]
 
 
