@@ -43,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakemill.llm.components import components
@@ -207,29 +208,66 @@ def _verified(pairs: DataFrame, texts: DataFrame, verify: int, similarity: float
     return save(sides.select("a", "b", "ta", "tb").mapInArrow(judge, "a binary, b binary"), "similar")
 
 
+def _apart(bands: DataFrame, links: DataFrame) -> DataFrame:
+    """The bands, with the part of each node, of the keys whose nodes the links leave in several parts."""
+    named = bands.join(components(links).withColumnRenamed("label", "part"), "node", "left").select(*bands.columns, F.coalesce("part", "node").alias("part"))
+    named = save(named, "parts")
+    apart = save(named.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key"), "apart")
+    return save(named.join(apart.hint("merge"), "key", "left_semi"), "open")
+
+
+def _rarest(nodes: DataFrame, texts: DataFrame, verify: int, similarity: float) -> DataFrame:
+    """(key, node, n, short): the shingles, rarest among these nodes first, of which two similar texts share one.
+
+    short: the shingle is among those few that the text with fewer shingles, or
+    as many, must share with any of the other's.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [k.view(np.int64) for k in shingle_kinds(batch.column(1).to_pylist(), verify)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, kinds), pa.int64()), pa.array(kinds, pa.list_(pa.int64()))], names=["node", "n", "kinds"])
+
+    asked = texts.join(save(nodes, "open-nodes").hint("merge"), "node").select("node", "text")
+    flat = save(asked.mapInArrow(run, "node binary, n long, kinds array<long>"), "open-shingles").select("node", "n", F.explode("kinds").alias("key"))
+    # A shingle of one text meets nothing, but counts among its rarest.
+    counts = save(flat.groupBy("key").count(), "shingle-counts")
+    rank = F.row_number().over(W.partitionBy("node").orderBy("count", "key"))
+    ranked = flat.join(counts.hint("merge"), "key").withColumn("rank", rank)
+    within = lambda share: F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-6)) + 1
+    # Of sizes m <= n a similar pair shares s (m + n) / (1 + s) shingles, so 2 s m / (1 + s) at least.
+    short = within(2 * similarity / (1 + similarity)).alias("short")
+    return save(ranked.where(within(similarity) & (F.col("count") > 1)).select("key", "node", "n", "rank", short), "rarest")
+
+
 def _similar(bands: DataFrame, texts: DataFrame, verify: int, similarity: float) -> DataFrame:
     """Verified links (a, b) of texts that connect all that the candidate pairs connect.
 
     Each text that shares a band is a node of its own.  First all texts of a band
-    are compared with its least one.  Of the bands that the links leave apart,
-    each text is then compared with the least text of every other part; what is
-    still apart after that is compared pair by pair.  So a crowd of copies gives
-    about as many candidates as it has members, and a pair goes unverified only
-    where its ends are connected without it, or where its counts of shingles
-    rule the similarity out.
+    are compared with its least one.  Texts of bands that the links leave apart
+    meet again where they share one of their rarest shingles: each text is
+    compared with one text of every other part there, and what is still apart
+    after that pair by pair.  Of n shingles the n - ceil(similarity n) + 1
+    rarest must hold one that a similar text has among its own, so texts that
+    only share a common passage don't meet, and no pair is lost.  A pair goes
+    unverified only where its ends are connected without it, or where its
+    shingles rule the similarity out.
     """
     fits = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - F.lit(1e-6)
     ends = lambda df: df.where(fits(F.col("n"), F.col("o"))).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     least = bands.groupBy("key").agg(F.min(F.struct("node", "n")).alias("r")).select("key", F.col("r.node").alias("other"), F.col("r.n").alias("o"))
     links = _verified(save(ends(bands.join(least, "key").where("node <> other")), "candidates"), texts, verify, similarity)
+    bands = _rarest(_apart(bands, links).select("node").distinct(), texts, verify, similarity)
     for last in (False, True):
-        named = bands.join(components(links).withColumnRenamed("label", "part"), "node", "left").select("key", "node", "n", F.coalesce("part", "node").alias("part"))
-        named = save(named, "parts")
-        apart = save(named.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key"), "apart")
-        open_ = save(named.join(apart, "key", "left_semi"), "open")
-        to = open_ if last else open_.groupBy("key", "part").agg(F.min(F.struct("node", "n")).alias("r")).select("key", "part", F.col("r.node").alias("node"), F.col("r.n").alias("n"))
-        to = to.select("key", F.col("part").alias("q"), F.col("node").alias("other"), F.col("n").alias("o"))
-        pairs = open_.join(to, "key").where(F.col("part") < F.col("q") if last else F.col("part") != F.col("q"))
+        open_ = _apart(bands, links)
+        to = open_.where("short")
+        if not last:
+            to = to.groupBy("key", "part").agg(F.min(F.struct("rank", "node", "n")).alias("r")).select("key", "part", "r.rank", "r.node", "r.n")
+        to = to.select("key", F.col("part").alias("q"), F.col("node").alias("other"), F.col("n").alias("o"), F.col("rank").alias("at"))
+        pairs = open_.join(to.hint("merge"), "key").where("part <> q AND n >= o" if last else "part <> q")
+        # A pair can't share more than follows its first shared shingle on either side.
+        most = F.least(F.col("n") - F.col("rank"), F.col("o") - F.col("at")) + 1
+        pairs = pairs.where(most * (1 + similarity) >= F.lit(similarity) * (F.col("n") + F.col("o")) - F.lit(1e-6))
         links = save(links.unionAll(_verified(save(ends(pairs), "candidates"), texts, verify, similarity)), "similar")
     return links
 
