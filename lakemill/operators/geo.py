@@ -89,36 +89,36 @@ def to_geojson(text: str) -> str:
     return json.dumps({"type": kind, "coordinates": coordinates}, separators=(",", ":"))
 
 
-def in_ring(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    """Even-odd test; points on the boundary count as inside."""
-    inside, edge = np.zeros(len(x), bool), np.zeros(len(x), bool)
+def even_odd(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Whether a ray to the right leaves each point over an odd number of edges: of the boundary, left and lower sides count."""
+    inside = np.zeros(len(x), bool)
     for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, -1, axis=0)):
-        cross = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
-        edge |= (cross == 0) & (np.minimum(x1, x2) <= x) & (x <= np.maximum(x1, x2)) & (np.minimum(y1, y2) <= y) & (y <= np.maximum(y1, y2))
         if y1 != y2:
             inside ^= ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
-    return inside | edge
+    return inside
 
 
 def _polygon(text: str) -> list[np.ndarray]:
     return [np.array(r, float)[:, :2] for r in parse_wkt(text)[1]]
 
 
+def _odd(ring: np.ndarray, x: Column, y: Column) -> Column:
+    """even_odd as an expression: the ring's edges are a literal array."""
+    edges = [(*p, *q) for p, q in zip(ring.tolist(), np.roll(ring, -1, axis=0).tolist()) if p[1] != q[1]]
+    crossed = lambda e: ((e[1] > y) != (e[3] > y)) & (x < (e[2] - e[0]) * (y - e[1]) / (e[3] - e[1]) + e[0])
+    return F.size(F.filter(F.array(*[F.array(*map(F.lit, e)) for e in edges]), crossed)) % 2 == 1
+
+
 def contains(wkt: str, x, y) -> Column:
-    """Whether a fixed polygon holds each point; its box prunes first, natively."""
+    """Whether a fixed polygon holds each point; its box is looked at first.  No Python at run time."""
     rings = _polygon(wkt)
     (x0, y0), (x1, y1) = rings[0].min(axis=0), rings[0].max(axis=0)
-
-    @F.pandas_udf("boolean")
-    def inside(a: pd.Series, b: pd.Series) -> pd.Series:
-        u, v = a.to_numpy(float), b.to_numpy(float)
-        found = in_ring(u, v, rings[0])
-        for hole in rings[1:]:
-            found &= ~in_ring(u, v, hole)
-        return pd.Series(found)
-
-    box = _col(x).between(float(x0), float(x1)) & _col(y).between(float(y0), float(y1))
-    return F.when(box, inside(_col(x).cast("double"), _col(y).cast("double"))).otherwise(F.when(box.isNotNull(), F.lit(False)))
+    x, y = _col(x).cast("double"), _col(y).cast("double")
+    found = _odd(rings[0], x, y)
+    for hole in rings[1:]:
+        found = found & ~_odd(hole, x, y)
+    box = x.between(float(x0), float(x1)) & y.between(float(y0), float(y1))
+    return F.when(box, found).otherwise(F.when(box.isNotNull(), F.lit(False)))
 
 
 def _areas(wkt: pd.Series) -> pd.Series:

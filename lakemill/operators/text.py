@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakemill.functions.strings import like
+
 STOPWORDS = ("a", "an", "and", "of", "the", "to")
 K1, B = 1.2, 0.75
 
@@ -20,7 +22,7 @@ def tokens(text, diacritics: bool = False, stopwords: bool = False) -> Column:
     if diacritics:
         accented = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ"
         x = F.translate(x, accented, "".join(unicodedata.normalize("NFD", c)[0] for c in accented))
-    found = F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+"), 0)
+    found = F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}_]+"), 0)
     return F.filter(found, lambda t: ~t.isin(*STOPWORDS)) if stopwords else found
 
 
@@ -54,7 +56,8 @@ class Query:
             elif phrase:
                 clauses[-1]["phrases"].append(terms)
             elif word.endswith("*"):
-                clauses[-1]["prefixes"].append(terms[0])
+                clauses[-1]["terms"] += terms[:-1]
+                clauses[-1]["prefixes"].append(terms[-1])
             else:
                 clauses[-1]["terms"] += terms
         return Query([c for c in clauses if any(c.values())])
@@ -109,3 +112,27 @@ def trigrams(text) -> Column:
     """Distinct upper-case trigrams, for an index table that narrows LIKE '%...%'."""
     x = F.upper(F.col(text) if isinstance(text, str) else text)
     return F.when(F.length(x) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda k: F.substring(x, k, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+
+def required_trigrams(pattern: str) -> list[str]:
+    """Upper-case trigrams that each text LIKE pattern holds."""
+    parts = [p.upper() for p in re.split("[%_]", pattern)]
+    return sorted({p[k : k + 3] for p in parts for k in range(len(p) - 2)})
+
+
+def trigram_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(gram, id): the index table, to be written with io.write_sorted by gram."""
+    return docs.select(F.explode(trigrams(text_col)).alias("gram"), F.col(id_col))
+
+
+def like_search(docs: DataFrame, index: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
+    """The rows whose text is LIKE pattern: those that hold all its trigrams, checked again.
+
+    Only the pattern's grams are read of the index.  A pattern without three
+    letters in a row has none, so all rows are checked.
+    """
+    grams = required_trigrams(pattern)
+    if grams:
+        held = index.where(F.col("gram").isin(grams)).groupBy(id_col).agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams))
+        docs = docs.join(held.select(id_col), id_col, "left_semi")
+    return docs.where(like(F.col(text_col), pattern))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from lakemill.functions import conditional, datetime, json, math, strings
 from lakemill.functions.registry import Functions
-from lakemill.operators import aggregates, dml, geo, relational, security, text, tvf
+from lakemill.operators import aggregates, dml, geo, relational, security, shapes, text, tvf
+from lakemill.plans import ddl
 from lakemill.session import configure
 from lakemill.sources import catalog
 from lakemill.sources.io import register_tables, table
@@ -286,7 +287,7 @@ def udf_collation(spark, d):
 
 # Text search
 
-_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 
 
 @_query(f"SELECT doc_id FROM (SELECT doc_id, {_TOKENS} AS t FROM documents) WHERE list_contains(t, 'the') AND list_contains(t, 'and')")
@@ -320,6 +321,12 @@ def bm25_top_k(spark, d):
     return scored.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
+@_query("SELECT doc_id FROM documents WHERE text LIKE '%license%the%'")
+def trigram_like(spark, d):
+    docs = table(spark, d, "documents")
+    return text.like_search(docs, text.trigram_index(docs, "doc_id", "text"), "doc_id", "text", "%license%the%").select("doc_id")
+
+
 # Places: customers and suppliers stand at places made from their keys.
 
 
@@ -361,6 +368,31 @@ def geo_contains(spark, d):
     return at.select("c_custkey", geo.contains(shape, "x", "y").alias("inside"))
 
 
+def _rectangles(df: DataFrame, key: str, name: str, high: int, wide: int) -> DataFrame:
+    """A rectangle at a place made from each key, as WKT."""
+    x, y = (F.col(key) * 7919) % 360, (F.col(key) * 104729) % 170
+    corners = F.format_string("POLYGON((%d %d, %d %d, %d %d, %d %d, %d %d))", x, y, x + wide, y, x + wide, y + high, x, y + high, x, y)
+    return df.select(key, corners.alias(name))
+
+
+_FIELD = "POLYGON((20.5 30.5, 140.5 30.5, 140.5 110.5, 20.5 110.5, 20.5 30.5))"
+_LINE = "LINESTRING(100 0, 100 300)"
+
+
+@_query("""SELECT c_custkey, x <= 140.5 AND x + 7 >= 20.5 AND y <= 110.5 AND y + 4 >= 30.5 AS meets, x <= 100 AND x + 7 >= 100 AS crossed,
+    x > 20.5 AND x + 7 < 140.5 AND y > 30.5 AND y + 4 < 110.5 AS within FROM (SELECT c_custkey, (c_custkey * 7919) % 360 AS x, (c_custkey * 104729) % 170 AS y FROM customer)""")
+def geo_shapes(spark, d):
+    r = _rectangles(table(spark, d, "customer"), "c_custkey", "shape", 4, 7)
+    return r.select("c_custkey", shapes.st_intersects("shape", F.lit(_FIELD)).alias("meets"), shapes.st_intersects(F.lit(_LINE), "shape").alias("crossed"), shapes.st_within("shape", F.lit(_FIELD)).alias("within"))
+
+
+@_query("""SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, (c_custkey * 7919) % 360 AS x, (c_custkey * 104729) % 170 AS y FROM customer)
+    JOIN (SELECT s_suppkey, (s_suppkey * 7919) % 360 AS u, (s_suppkey * 104729) % 170 AS v FROM supplier) ON x <= u + 5 AND u <= x + 2 AND y <= v + 3 AND v <= y + 2""")
+def geo_shape_join(spark, d):
+    a, b = _rectangles(table(spark, d, "customer"), "c_custkey", "a", 2, 2), _rectangles(table(spark, d, "supplier"), "s_suppkey", "b", 3, 5)
+    return shapes.shape_join(a, b, "a", "b", 6.0).select("c_custkey", "s_suppkey")
+
+
 # DML, constraints, security
 
 
@@ -431,7 +463,14 @@ def policy_mask(spark, d):
     return rules.view(table(spark, d, "customer"))
 
 
-# Catalog
+# Views and catalog
+
+
+@_query("SELECT c_nationkey AS nation, count(*) AS n, sum(c_acctbal) AS total FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0 GROUP BY 1")
+def view_scan(spark, d):
+    register_tables(spark, d, ["customer"])
+    ddl.execute(spark, "CREATE OR REPLACE VIEW lakemill_building (nation, balance) AS SELECT c_nationkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING'")
+    return ddl.execute(spark, "SELECT nation, count(*) AS n, sum(balance) AS total FROM lakemill_building WHERE balance > 0 GROUP BY nation")
 
 
 @_query("SELECT column_name, (ordinal_position)::INT AS ordinal_position FROM (VALUES ('n_nationkey', 1), ('n_name', 2), ('n_regionkey', 3)) t(column_name, ordinal_position)")

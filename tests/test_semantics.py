@@ -5,7 +5,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakemill.functions import conditional, datetime, json, math, strings
-from lakemill.operators import aggregates, dml, geo, relational, security, text, tvf
+from lakemill.operators import aggregates, dml, geo, relational, security, shapes, text, tvf
+from lakemill.plans import ddl
 from lakemill.plans.rewrite import rewrite, sql
 from lakemill.sources import catalog, io
 from lakemill.streaming import changes
@@ -140,6 +141,9 @@ def test_text(spark):
     docs = spark.createDataFrame([(1, "Quick brown fox"), (2, "Slow brown dog"), (3, None)], "id int, t string")
     hit = lambda q: [r.id for r in docs.where(text.fulltext_match("t", q)).orderBy("id").collect()]
     assert (hit("brown"), hit("brown -dog"), hit('"brown fox"'), hit("qui*"), hit("fox OR dog"), hit("brown fox dog")) == ([1, 2], [1], [1], [1], [1, 2], [])
+    odd = spark.createDataFrame([("a-b c_d e/f",)], "t string")
+    assert odd.select(text.tokens("t")).first()[0] == ["a", "b", "c_d", "e", "f"]
+    assert odd.where(text.fulltext_match("t", "c_d a-b*")).count() == 1 and odd.where(text.fulltext_match("t", "c")).count() == 0
     top = text.bm25_top_k(docs, "id", "t", "fox", 5).collect()
     assert [r.id for r in top] == [1] and top[0].score > 0
 
@@ -149,8 +153,9 @@ def test_geo(spark):
     p = spark.createDataFrame([(0.5, 0.5), (1.5, 0.5), (3.0, 3.0)], "x double, y double")
     hole = "POLYGON((0 0, 2 0, 2 2, 0 2, 0 0), (1 0.2, 1.8 0.2, 1.8 1, 1 1, 1 0.2))"
     assert [r[0] for r in p.select(geo.contains(hole, "x", "y")).collect()] == [True, False, False]
-    shapes = spark.createDataFrame([(hole,)], "w string")
-    assert abs(shapes.select(geo.st_area("w")).first()[0] - (4 - 0.64)) < 1e-9
+    assert "Python" not in p.select(geo.contains(hole, "x", "y"))._jdf.queryExecution().executedPlan().toString()
+    held = spark.createDataFrame([(hole,)], "w string")
+    assert abs(held.select(geo.st_area("w")).first()[0] - (4 - 0.64)) < 1e-9
     lines = spark.createDataFrame([("LINESTRING(0 0, 3 4)",)], "w string")
     assert lines.select(geo.st_length("w")).first()[0] == 5.0
     across = spark.createDataFrame([(1, 179.9, 0.0)], "a int, x double, y double").crossJoin(spark.createDataFrame([(2, -179.9, 0.0)], "b int, u double, v double"))
@@ -184,3 +189,77 @@ def test_sources(spark, tmp_path):
     t.write.parquet(f"{tmp_path}/log")
     changes.watch(changes.change_stream(spark, f"{tmp_path}/log", "id int, s string", F.col("id") == 2), lambda df, k: seen.extend(r.id for r in df.collect()), f"{tmp_path}/cp").awaitTermination()
     assert seen == [2]
+
+
+_SQUARE = "POLYGON((0 0, 4 0, 4 4, 0 4, 0 0))"
+_RING = "POLYGON((0 0, 9 0, 9 9, 0 9, 0 0), (2 2, 7 2, 7 7, 2 7, 2 2))"
+
+
+@pytest.mark.parametrize(
+    "a,b,meets,holds,same",
+    [
+        (_SQUARE, "POINT(1 1)", True, True, False),
+        (_SQUARE, "POINT(5 1)", False, False, False),
+        (_SQUARE, "POINT(4 4)", True, False, False),
+        (_SQUARE, "LINESTRING(-1 2, 9 2)", True, False, False),
+        (_SQUARE, "LINESTRING(1 1, 2 3)", True, True, False),
+        (_SQUARE, "POLYGON((4 4, 4 0, 0 0, 0 4, 4 4))", True, False, True),
+        (_SQUARE, "POLYGON((1 1, 2 1, 2 2, 1 1))", True, True, False),
+        ("POLYGON((1 1, 2 1, 2 2, 1 1))", _SQUARE, True, False, False),
+        (_SQUARE, "POLYGON((-5 1, 9 1, 9 2, -5 2, -5 1))", True, False, False),
+        (_RING, "POLYGON((4 4, 5 4, 5 5, 4 4))", False, False, False),
+        ("LINESTRING(0 0, 2 2, 3 0)", "LINESTRING(3 0, 2 2, 0 0)", True, False, True),
+        ("LINESTRING(0 0, 4 4)", "POINT(2 2)", True, True, False),
+        ("MULTIPOINT(1 1, 2 2)", "MULTIPOINT((2 2), (1 1))", True, True, True),
+        ("MULTIPOLYGON(((0 0, 4 0, 4 4, 0 4, 0 0)), ((6 6, 8 6, 8 8, 6 6)))", "POINT(7.5 7)", True, True, False),
+        ("POINT EMPTY", "POINT(0 0)", False, False, False),
+        (None, "POINT(0 0)", None, None, None),
+    ],
+)
+def test_shapes(spark, a, b, meets, holds, same):
+    if a is not None:
+        x, y = shapes.Shape(a), shapes.Shape(b)
+        assert (shapes.intersects(x, y), shapes.intersects(y, x), shapes.contains(x, y), shapes.equals(x, y), shapes.equals(y, x)) == (meets, meets, holds, same, same)
+    else:
+        pair = spark.createDataFrame([(a, b)], "a string, b string")
+        assert tuple(pair.select(shapes.st_intersects("a", "b"), shapes.st_within("b", "a"), shapes.st_equals("a", "b")).first()) == (meets, holds, same)
+
+
+def test_shape_join_gives_each_pair_once(spark):
+    shape = lambda x, y, s: f"POLYGON(({x} {y}, {x + s} {y}, {x + s} {y + s}, {x} {y + s}, {x} {y}))"
+    at = [(x, y, s) for x in range(-3, 6, 2) for y in range(-2, 5, 3) for s in (1, 4)]
+    left = spark.createDataFrame([(k, shape(*p)) for k, p in enumerate(at)] + [(99, None)], "i int, a string")
+    right = left.toDF("j", "b")
+    want = [(i, j) for i, (x, y, s) in enumerate(at) for j, (u, v, t) in enumerate(at) if x <= u + t and u <= x + s and y <= v + t and v <= y + s]
+    for cell in (1.0, 2.5):
+        assert values(shapes.shape_join(left, right, "a", "b", cell).select("i", "j")) == sorted(want, key=str)
+
+
+def test_trigram_search(spark):
+    docs = spark.createDataFrame([(1, "Abcde x"), (2, "abc"), (3, None), (4, ""), (5, "xx abCDe"), (6, "abcabcde")], "id int, t string")
+    index = text.trigram_index(docs, "id", "t")
+    assert text.required_trigrams("%abcd_fg%") == ["ABC", "BCD"]
+    for pattern in ("%bcd%", "abc%", "%ab%", "%", "%abc%cde", "zzz%"):
+        assert values(text.like_search(docs, index, "id", "t", pattern).select("id")) == values(docs.where(strings.like(F.col("t"), pattern)).select("id"))
+
+
+def test_ddl(spark):
+    spark.range(10).createOrReplaceTempView("ddl_base")
+    ddl.execute(spark, "CREATE VIEW ddl_view (k, h) AS SELECT id, id / 4 FROM ddl_base WHERE id > 4")
+    assert values(sql(spark, "SELECT k, h FROM ddl_view WHERE k < 9")) == [(5, 1.0), (6, 1.0), (7, 1.0), (8, 2.0)]
+    with pytest.raises(ValueError):
+        ddl.execute(spark, "CREATE VIEW ddl_view AS SELECT 1 AS k")
+    ddl.execute(spark, "CREATE VIEW IF NOT EXISTS ddl_view AS SELECT 1 AS k")
+    assert sql(spark, "SELECT count(*) FROM ddl_view").first()[0] == 5
+    ddl.execute(spark, "CREATE OR REPLACE TEMP VIEW ddl_view AS SELECT 1 AS k")
+    assert values(sql(spark, "SELECT * FROM ddl_view")) == [(1,)]
+    ddl.execute(spark, "CREATE TABLE ddl_made AS SELECT id AS k, concat('v', id) AS v FROM ddl_base")
+    ddl.execute(spark, "CREATE TABLE ddl_empty AS SELECT k FROM ddl_made WITH NO DATA")
+    assert (spark.table("ddl_made").count(), spark.table("ddl_empty").count()) == (10, 0)
+    assert "Scan" in "\n".join(r.plan for r in ddl.execute(spark, "EXPLAIN SELECT k FROM ddl_made").collect())
+    assert "rows: 10" in [r.plan for r in ddl.execute(spark, "EXPLAIN ANALYZE SELECT k FROM ddl_made").collect()]
+    for what in ("VIEW ddl_view", "TABLE ddl_made", "TABLE ddl_empty", "VIEW IF EXISTS ddl_view"):
+        ddl.execute(spark, f"DROP {what}")
+    assert not spark.catalog.tableExists("ddl_made")
+    with pytest.raises(ValueError):
+        ddl.execute(spark, "DROP VIEW ddl_view")
