@@ -54,6 +54,8 @@ BUCKET = 48
 MAX_LEVELS = 8
 #: Bands of a text's MinHash, and minima in each.
 BANDS, ROWS = 24, 5
+#: 64-bit words of a text's sketch.
+SKETCH = 8
 #: Shingles whose bits are counted at a time.
 _CHUNK = 1 << 14
 
@@ -99,6 +101,16 @@ def band_keys(kinds: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def sketch(kinds: np.ndarray) -> np.ndarray:
+    """Bits that tell whether an even or odd number of a text's shingles fall on them.
+
+    Shingles of both texts leave no trace in the exclusive or of two sketches, so
+    it has no more bits than there are shingles of just one of them.
+    """
+    odd = np.bincount((kinds % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) of each row; fp is a signed 64-bit integer."""
     small_batches(docs.sparkSession)
@@ -217,7 +229,7 @@ def _apart(bands: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _rarest(nodes: DataFrame, texts: DataFrame, verify: int, similarity: float) -> DataFrame:
-    """(key, node, n, short): the shingles, rarest among these nodes first, of which two similar texts share one.
+    """(key, node, n, sketch, rank, short): the shingles, rarest among these nodes first, of which two similar texts share one.
 
     short: the shingle is among those few that the text with fewer shingles, or
     as many, must share with any of the other's.
@@ -226,10 +238,10 @@ def _rarest(nodes: DataFrame, texts: DataFrame, verify: int, similarity: float)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds = [k.view(np.int64) for k in shingle_kinds(batch.column(1).to_pylist(), verify)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, kinds), pa.int64()), pa.array(kinds, pa.list_(pa.int64()))], names=["node", "n", "kinds"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, kinds), pa.int64()), pa.array([sketch(k.view(np.uint64)) for k in kinds], pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int64()))], names=["node", "n", "sketch", "kinds"])
 
     asked = texts.join(save(nodes, "open-nodes").hint("merge"), "node").select("node", "text")
-    flat = save(asked.mapInArrow(run, "node binary, n long, kinds array<long>"), "open-shingles").select("node", "n", F.explode("kinds").alias("key"))
+    flat = save(asked.mapInArrow(run, "node binary, n long, sketch array<long>, kinds array<long>"), "open-shingles").select("node", "n", "sketch", F.explode("kinds").alias("key"))
     # A shingle of one text meets nothing, but counts among its rarest.
     counts = save(flat.groupBy("key").count(), "shingle-counts")
     rank = F.row_number().over(W.partitionBy("node").orderBy("count", "key"))
@@ -237,7 +249,7 @@ def _rarest(nodes: DataFrame, texts: DataFrame, verify: int, similarity: float)
     within = lambda share: F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-6)) + 1
     # Of sizes m <= n a similar pair shares s (m + n) / (1 + s) shingles, so 2 s m / (1 + s) at least.
     short = within(2 * similarity / (1 + similarity)).alias("short")
-    return save(ranked.where(within(similarity) & (F.col("count") > 1)).select("key", "node", "n", "rank", short), "rarest")
+    return save(ranked.where(within(similarity) & (F.col("count") > 1)).select("key", "node", "n", "sketch", "rank", short), "rarest")
 
 
 def _similar(bands: DataFrame, texts: DataFrame, verify: int, similarity: float) -> DataFrame:
@@ -249,7 +261,8 @@ def _similar(bands: DataFrame, texts: DataFrame, verify: int, similarity: float)
     compared with one text of every other part there, and what is still apart
     after that pair by pair.  Of n shingles the n - ceil(similarity n) + 1
     rarest must hold one that a similar text has among its own, so texts that
-    only share a common passage don't meet, and no pair is lost.  A pair goes
+    only share a common passage don't meet, and no pair is lost; nor do texts whose
+    sketches prove that too many shingles are in one of them only.  A pair goes
     unverified only where its ends are connected without it, or where its
     shingles rule the similarity out.
     """
@@ -262,12 +275,15 @@ def _similar(bands: DataFrame, texts: DataFrame, verify: int, similarity: float)
         open_ = _apart(bands, links)
         to = open_.where("short")
         if not last:
-            to = to.groupBy("key", "part").agg(F.min(F.struct("rank", "node", "n")).alias("r")).select("key", "part", "r.rank", "r.node", "r.n")
-        to = to.select("key", F.col("part").alias("q"), F.col("node").alias("other"), F.col("n").alias("o"), F.col("rank").alias("at"))
+            to = to.groupBy("key", "part").agg(F.min(F.struct("rank", "node", "n", "sketch")).alias("r")).select("key", "part", "r.rank", "r.node", "r.n", "r.sketch")
+        to = to.select("key", F.col("part").alias("q"), F.col("node").alias("other"), F.col("n").alias("o"), F.col("rank").alias("at"), F.col("sketch").alias("others"))
         pairs = open_.join(to.hint("merge"), "key").where("part <> q AND n >= o" if last else "part <> q")
         # A pair can't share more than follows its first shared shingle on either side.
         most = F.least(F.col("n") - F.col("rank"), F.col("o") - F.col("at")) + 1
         pairs = pairs.where(most * (1 + similarity) >= F.lit(similarity) * (F.col("n") + F.col("o")) - F.lit(1e-6))
+        # Nor can it be similar if its sketches show more shingles of one text alone than that allows.
+        alone = reduce(lambda x, y: x + y, [F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("others")[k])) for k in range(SKETCH)])
+        pairs = pairs.where(alone * (1 + similarity) <= F.lit(1 - similarity) * (F.col("n") + F.col("o")) + F.lit(1e-6))
         links = save(links.unionAll(_verified(save(ends(pairs), "candidates"), texts, verify, similarity)), "similar")
     return links
 

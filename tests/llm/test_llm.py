@@ -165,6 +165,16 @@ def test_covering_finds_every_pair_in_crowds(spark):
     assert {(r.a, r.b) for r in got.collect()} == want
 
 
+def test_sketches_show_no_more_than_the_difference():
+    rng = np.random.default_rng(12)
+    for n in (0, 1, 40, 700, 5000):
+        both, x, y = (np.unique(rng.integers(0, 1 << 63, k, np.uint64)) for k in (n, n // 3, n // 9))
+        one, two = (simhash.sketch(np.unique(np.concatenate([both, part]))) for part in (x, y))
+        bits = int(np.bitwise_count(one ^ two).sum())
+        assert bits <= len(x) + len(y) and (n > 700 or bits > 0.5 * (len(x) + len(y)) or not n // 3)
+        assert not (simhash.sketch(both) ^ simhash.sketch(both)).any()
+
+
 def test_near_duplicates(spark):
     words = [f"word{k}" for k in range(200)]
     edited = [*words[:100], "other", *words[101:]]
