@@ -29,7 +29,10 @@ def checkpoint_dir(spark: SparkSession) -> None:
     """Let checkpoint() use the shared folder of spark.checkpoint.dir; a private one only where that is unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakemill-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakemill-"))
 
 
 def session(app: str = "lakemill", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
