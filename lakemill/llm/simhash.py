@@ -16,14 +16,15 @@ differ only in the positions that its mask drops, so a further covering with
 another map splits it again, as often as it takes.  Half of the free positions
 go at each level, so a last bucket can't hold many distinct fingerprints.
 
-near_duplicates() is the filter for shingle similarity.  SimHash only estimates
-angles, which a cut or an added block changes more than its share of shingles,
-so its candidates come from MinHash over the shingles that are compared: each of
-``BANDS`` bands hashes ``ROWS`` minima of the set, and texts that share a band
-are candidates.  At Jaccard similarity s that misses a pair with probability
-(1 - s**ROWS)**BANDS, under 0.0001 at 0.8 and less above, whatever the edits.  A
-pair counts only if the exact similarity of the sets of ``verify``-word shingles
-is ``similarity`` or more.
+near_duplicates() is the filter for shingle similarity.  Its candidates are the
+components of the same fingerprints and search.  SimHash only estimates angles,
+which a cut or an added block changes more than its share of shingles, so what
+lies past the radius is added by MinHash over the shingles that are compared: each
+of ``BANDS`` bands hashes ``ROWS`` minima of the set, and texts that share a band
+are candidates too.  At Jaccard similarity s both together miss a pair with
+probability (1 - s**ROWS)**BANDS at most, under 0.0001 at 0.8 and less above,
+whatever the edits.  A pair counts only if the exact similarity of the sets of
+``verify``-word shingles is ``similarity`` or more.
 
 Copies share a fingerprint and are represented by it in the search; the number
 of documents behind a fingerprint never matters.
@@ -255,8 +256,9 @@ def _rarest(nodes: DataFrame, texts: DataFrame, verify: int, similarity: float)
 def _similar(bands: DataFrame, texts: DataFrame, verify: int, similarity: float) -> DataFrame:
     """Verified links (a, b) of texts that connect all that the candidate pairs connect.
 
-    Each text that shares a band is a node of its own.  First all texts of a band
-    are compared with its least one.  Texts of bands that the links leave apart
+    Each text that shares a band, or a component of fingerprints, which is a band
+    like any other here, is a node of its own.  First all texts of a band are
+    compared with its least one.  Texts of bands that the links leave apart
     meet again where they share one of their rarest shingles: each text is
     compared with one text of every other part there, and what is still apart
     after that pair by pair.  Of n shingles the n - ceil(similarity n) + 1
@@ -288,12 +290,19 @@ def _similar(bands: DataFrame, texts: DataFrame, verify: int, similarity: float)
     return links
 
 
-def near_duplicates(docs: DataFrame, verify: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _fingerprint_bands(prints: DataFrame, radius: int) -> DataFrame:
+    """(node, n, key): the component that each text's fingerprint is in, by links of radius or fewer bits."""
+    labels = components(near_pairs(prints.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
+    return prints.select("node", "n", "fp").join(labels, "fp", "left").select("node", "n", F.coalesce("label", "fp").alias("key"))
+
+
+def near_duplicates(docs: DataFrame, verify: int = 5, similarity: float = 0.8, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each group of near-duplicates: that of the least id.
 
     Texts equal in all bytes are one group without any search; distinct texts
     are linked by verified candidates, and groups are connected components.  Of
     rows that repeat an id and a text one stays.  All columns are returned.
+    shingle and radius are those of the fingerprints.
     """
     small_batches(docs.sparkSession)
     rows = save(docs.withColumn("__sh_row", F.monotonically_increasing_id()).withColumn("__sh_node", F.unhex(F.sha2(text_bytes(text_col), 256))), "rows")
@@ -303,11 +312,12 @@ def near_duplicates(docs: DataFrame, verify: int = 5, similarity: float = 0.8, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = shingle_kinds(batch.column(1).to_pylist(), verify)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, kinds), pa.int64()), pa.array(map(band_keys, kinds), pa.list_(pa.int64()))], names=["node", "n", "keys"])
+            found = batch.column(1).to_pylist()
+            kinds, fp = shingle_kinds(found, verify), [fingerprint(t, shingle) for t in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, kinds), pa.int64()), pa.array(fp, pa.int64()), pa.array(map(band_keys, kinds), pa.list_(pa.int64()))], names=["node", "n", "fp", "keys"])
 
-    prints = save(texts.mapInArrow(run, "node binary, n long, keys array<long>"), "bands")
-    flat = prints.select("node", "n", F.explode("keys").alias("key"))
+    prints = save(texts.mapInArrow(run, "node binary, n long, fp long, keys array<long>"), "prints")
+    flat = save(prints.select("node", "n", F.explode("keys").alias("key")).unionAll(_fingerprint_bands(prints, radius)), "bands")
     shared = save(flat.groupBy("key").count().where("count > 1").select("key"), "shared-bands")
     bands = save(flat.join(shared.hint("merge"), "key", "left_semi"), "met-bands")
     texts = save(texts.join(save(bands.select("node").distinct(), "wanted").hint("merge"), "node"), "candidate-texts")

@@ -217,6 +217,32 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(r.doc_id for r in simhash.near_duplicates(frame(spark, texts)).collect()) == want
 
 
+def test_near_duplicates_takes_the_components_of_fingerprints(spark, monkeypatch):
+    """Without any band of minima, the similar pairs within a component of fingerprints are the links."""
+    rng, line, texts = np.random.default_rng(13), "one line that all of these texts repeat often ", []
+    for t in range(12):
+        base = [f"t{t}w{k}" for k in rng.integers(0, 5000, 300)]
+        for edits in (0, 1, 3, 25):
+            texts.append(" ".join("edit" if k < edits else w for k, w in enumerate(base)))
+        # Prints that the line decides, over words that differ.
+        texts.append(line * 120 + " ".join(base))
+    prints = [slow_fingerprint(t) for t in texts]
+    met = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3
+    part = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if met(i, j):
+                part = [min(part[i], part[j]) if v in (part[i], part[j]) else v for v in part]
+    want = set()
+    for p in set(part):
+        members = [i for i, v in enumerate(part) if v == p]
+        want |= {members[v] for v in slow_groups([texts[i] for i in members])}
+    monkeypatch.setattr(simhash, "band_keys", lambda kinds: [])
+    got = {r.doc_id for r in simhash.near_duplicates(frame(spark, texts)).collect()}
+    # More similar pairs may be met on the way, none that brute force doesn't find.
+    assert set(slow_groups(texts)) <= got <= want and len(set(part)) < len(want) < len(texts) - 12
+
+
 def test_near_duplicates_under_one_repeated_line(spark):
     """A line in all texts outweighs their own words, by which alone they are alike or not."""
     rng, line = np.random.default_rng(6), "one line that all of these texts repeat often "
