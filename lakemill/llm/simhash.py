@@ -218,7 +218,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, verify: int, similarity: float
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"])
 
     sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
-    return save(sides.select("a", "b", "ta", "tb").mapInArrow(judge, "a binary, b binary"), "similar")
+    return save(sides.select("a", "b", "ta", "tb").mapInArrow(judge, "a long, b long"), "similar")
 
 
 def _apart(bands: DataFrame, links: DataFrame) -> DataFrame:
@@ -242,15 +242,18 @@ def _rarest(nodes: DataFrame, texts: DataFrame, verify: int, similarity: float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, kinds), pa.int64()), pa.array([sketch(k.view(np.uint64)) for k in kinds], pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int64()))], names=["node", "n", "sketch", "kinds"])
 
     asked = texts.join(save(nodes, "open-nodes").hint("merge"), "node").select("node", "text")
-    flat = save(asked.mapInArrow(run, "node binary, n long, sketch array<long>, kinds array<long>"), "open-shingles").select("node", "n", "sketch", F.explode("kinds").alias("key"))
-    # A shingle of one text meets nothing, but counts among its rarest.
-    counts = save(flat.groupBy("key").count(), "shingle-counts")
-    rank = F.row_number().over(W.partitionBy("node").orderBy("count", "key"))
+    asked = save(asked.mapInArrow(run, "node long, n long, sketch array<long>, kinds array<long>"), "open-shingles")
+    flat = asked.select("node", "n", F.explode("kinds").alias("key"))
+    # A shingle of one text meets nothing, but counts among its rarest: those that aren't sent come first.
+    counts = save(flat.groupBy("key").count().where("count > 1"), "shingle-counts")
+    of = W.partitionBy("node")
+    rank = F.col("n") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("count", "key"))
     ranked = flat.join(counts.hint("merge"), "key").withColumn("rank", rank)
     within = lambda share: F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-6)) + 1
     # Of sizes m <= n a similar pair shares s (m + n) / (1 + s) shingles, so 2 s m / (1 + s) at least.
     short = within(2 * similarity / (1 + similarity)).alias("short")
-    return save(ranked.where(within(similarity) & (F.col("count") > 1)).select("key", "node", "n", "sketch", "rank", short), "rarest")
+    rarest = ranked.where(within(similarity)).select("key", "node", "n", "rank", short)
+    return save(rarest.join(asked.select("node", "sketch").hint("merge"), "node").select("key", "node", "n", "sketch", "rank", "short"), "rarest")
 
 
 def _similar(bands: DataFrame, texts: DataFrame, verify: int, similarity: float) -> DataFrame:
@@ -305,24 +308,32 @@ def near_duplicates(docs: DataFrame, verify: int = 5, similarity: float = 0.8, s
     shingle and radius are those of the fingerprints.
     """
     small_batches(docs.sparkSession)
-    rows = save(docs.withColumn("__sh_row", F.monotonically_increasing_id()).withColumn("__sh_node", F.unhex(F.sha2(text_bytes(text_col), 256))), "rows")
-    # Copies meet before the shuffle: each task sends a text once.
-    texts = rows.select(F.col("__sh_node").alias("node"), text_bytes(text_col).alias("text")).groupBy("node").agg(F.first("text").alias("text"))
-    texts = save(texts, "distinct-texts")
+    rows = save(docs.withColumn("__sh_row", F.monotonically_increasing_id()), "rows")
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(1).to_pylist()
+            # Copies of a batch are read once.
+            places: dict[bytes, int] = {}
+            which = pa.array([places.setdefault(d, len(places)) for d in batch.column(2).to_pylist()], pa.int64())
+            texts = dict(zip(which.to_pylist(), batch.column(3).to_pylist()))
+            found = [texts[k] for k in range(len(places))]
             kinds, fp = shingle_kinds(found, verify), [fingerprint(t, shingle) for t in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, kinds), pa.int64()), pa.array(fp, pa.int64()), pa.array(map(band_keys, kinds), pa.list_(pa.int64()))], names=["node", "n", "fp", "keys"])
-
-    prints = save(texts.mapInArrow(run, "node binary, n long, fp long, keys array<long>"), "prints")
+            columns = [pa.array(map(len, kinds), pa.int64()), pa.array(fp, pa.int64()), pa.array(map(band_keys, kinds), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(c.take(which) for c in columns)], names=["row", "id", "digest", "n", "fp", "keys"])
+
+    # Texts stay where they are until it is known which are candidates; a row's number is its text's node.
+    asked = rows.select(F.col("__sh_row").alias("row"), F.col(id_col).alias("id"), F.unhex(F.sha2(text_bytes(text_col), 256)).alias("digest"), text_bytes(text_col).alias("text"))
+    prints = asked.mapInArrow(run, f"row long, id {kind}, digest binary, n long, fp long, keys array<long>").groupBy("digest")
+    prints = prints.agg(F.min("row").alias("node"), F.min(F.struct("id", "row")).alias("best"), *[F.first(c).alias(c) for c in ("n", "fp", "keys")])
+    prints = save(prints.drop("digest"), "prints")
     flat = save(prints.select("node", "n", F.explode("keys").alias("key")).unionAll(_fingerprint_bands(prints, radius)), "bands")
     shared = save(flat.groupBy("key").count().where("count > 1").select("key"), "shared-bands")
     bands = save(flat.join(shared.hint("merge"), "key", "left_semi"), "met-bands")
-    texts = save(texts.join(save(bands.select("node").distinct(), "wanted").hint("merge"), "node"), "candidate-texts")
+    wanted = save(bands.select(F.col("node").alias("__sh_row")).distinct(), "wanted")
+    texts = rows.select("__sh_row", text_bytes(text_col).alias("text")).join(wanted.hint("merge"), "__sh_row")
+    texts = save(texts.withColumnRenamed("__sh_row", "node"), "candidate-texts")
     labels = components(_similar(bands, texts, verify, similarity))
-    slim = rows.select("__sh_row", F.col(id_col).alias("id"), F.col("__sh_node").alias("node")).join(labels, "node", "left")
-    first = slim.groupBy(F.coalesce("label", "node").alias("group")).agg(F.min(F.struct("id", "__sh_row")).alias("best"))
-    best = save(first.select(F.col("best.__sh_row").alias("__sh_row")), "best")
-    return rows.join(best, "__sh_row", "left_semi").drop("__sh_row", "__sh_node")
+    first = prints.select("node", "best").join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("group")).agg(F.min("best").alias("best"))
+    best = save(first.select(F.col("best.row").alias("__sh_row")), "best")
+    return rows.join(best, "__sh_row", "left_semi").drop("__sh_row")

@@ -3,6 +3,7 @@
 import glob
 import hashlib
 import math
+import os
 import zlib
 from collections import Counter
 
@@ -243,6 +244,18 @@ def test_near_duplicates_takes_the_components_of_fingerprints(spark, monkeypatch
     assert set(slow_groups(texts)) <= got <= want and len(set(part)) < len(want) < len(texts) - 12
 
 
+def test_near_duplicates_sends_and_writes_texts_once(spark):
+    """Texts that meet no other are written in one table and sent in one shuffle before the result."""
+    rng = np.random.default_rng(14)
+    texts = [" ".join(f"{w:x}" for w in rng.integers(0, 1 << 40, 2000)) for _ in range(200)]
+    docs, folder = simhash.save(frame(spark, texts), "once"), spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    written = lambda: sum(os.path.getsize(f) for f in glob.glob(f"{folder}/lakemill/*/*.parquet"))
+    size, before = sum(map(len, texts)), (sent(), written())
+    assert simhash.near_duplicates(docs).count() == 200
+    assert sent() - before[0] < 1.5 * size and written() - before[1] < 0.8 * size
+
+
 def test_near_duplicates_under_one_repeated_line(spark):
     """A line in all texts outweighs their own words, by which alone they are alike or not."""
     rng, line = np.random.default_rng(6), "one line that all of these texts repeat often "
