@@ -1,15 +1,20 @@
 """Pinned results of the dialect on small tables."""
 
+import time
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakemill.functions import conditional, datetime, json, math, strings
 from lakemill.operators import aggregates, dml, geo, relational, security, shapes, text, tvf
-from lakemill.plans import ddl
+from lakemill.plans import ddl, operators
 from lakemill.plans.rewrite import rewrite, sql
 from lakemill.sources import catalog, io
 from lakemill.streaming import changes
+from tests.conftest import SF
 
 
 def one(spark, *columns):
@@ -235,6 +240,43 @@ def test_shape_join_gives_each_pair_once(spark):
         assert values(shapes.shape_join(left, right, "a", "b", cell).select("i", "j")) == sorted(want, key=str)
 
 
+def test_shapes_are_judged_alike_one_by_one_and_stacked(spark):
+    texts = [a for a in (_SQUARE, _RING, "POINT(4 4)", "POINT EMPTY", "LINESTRING(-1 2, 9 2)", "LINESTRING(0 0, 4 4)", "MULTIPOINT(1 1, 2 2)", "MULTILINESTRING((0 0, 4 4), (2 2, 8 8))")]
+    texts += [f"POLYGON(({x} {y}, {x + 3} {y}, {x + 3} {y + 2}, {x} {y + 2}, {x} {y}))" for x in range(-1, 9, 2) for y in range(0, 9, 3)]
+    texts += [f"MULTIPOLYGON((({x} 0, {x + 2} 0, {x} 2, {x} 0)), ((6 {x}, 8 {x}, 8 8, 6 {x})))" for x in range(3)]
+    parsed = [shapes.Shape(t) for t in texts]
+    i, j = np.divmod(np.arange(len(texts) ** 2), len(texts))
+    for test, stacked in ((shapes.intersects, shapes._stacked_intersects), (shapes.contains, shapes._stacked_contains)):
+        asked = []
+        found = shapes.judged(parsed, parsed, i, j, lambda a, b: asked.append(1) or test(a, b), stacked)
+        assert found.tolist() == [test(parsed[x], parsed[y]) for x, y in zip(i, j)]
+        # Only pairs with the empty shape are judged one by one.
+        assert len(asked) == 2 * len(texts) - 1
+    rows = spark.createDataFrame([("POINT(1 1)", _SQUARE), (None, _SQUARE), ("POINT(9 1)", None), ("POINT(9 1)", _SQUARE), ("POINT(1 1)", _SQUARE)], "a string, b string").coalesce(1)
+    assert [r[0] for r in rows.select(shapes.st_within("a", "b")).collect()] == [True, None, None, False, True]
+
+
+def test_shape_join_judges_equal_shapes_once(spark):
+    rows = spark.createDataFrame([(k, _SQUARE if k % 2 else "POINT EMPTY") for k in range(40)] + [(99, None)], "i int, a string")
+    judged = spark.sparkContext.accumulator(0)
+
+    def test(a, b):
+        def count(x: pd.Series, y: pd.Series) -> pd.Series:
+            judged.add(len(x))
+            return pd.Series(True, index=x.index)
+
+        return F.pandas_udf(count, "boolean")(a, b)
+
+    assert shapes.shape_join(rows, rows.toDF("j", "b"), "a", "b", 4.0, test).count() == 400
+    assert judged.value == 1
+
+
+def test_shape_queries_use_many_tasks(spark):
+    for name in ("geo_shapes", "geo_shape_join"):
+        plan = operators.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" in plan
+
+
 def test_trigram_search(spark):
     docs = spark.createDataFrame([(1, "Abcde x"), (2, "abc"), (3, None), (4, ""), (5, "xx abCDe"), (6, "abcabcde")], "id int, t string")
     index = text.trigram_index(docs, "id", "t")
