@@ -109,9 +109,15 @@ def bm25_top_k(docs: DataFrame, id_col: str, text_col: str, query: str, k: int)
 
 
 def trigrams(text) -> Column:
-    """Distinct upper-case trigrams, for an index table that narrows LIKE '%...%'."""
+    """Distinct upper-case trigrams, for an index table that narrows LIKE '%...%'.
+
+    The text is cut into its characters once: substring looks for its place from
+    the start, which takes the square of a text's length.
+    """
     x = F.upper(F.col(text) if isinstance(text, str) else text)
-    return F.when(F.length(x) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda k: F.substring(x, k, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    grams = lambda c: F.transform(F.slice(c, 3, F.greatest(F.size(c) - 2, F.lit(0))), lambda z, k: F.concat(c[k], c[k + 1], z))
+    # The lambda's variable holds the characters; an expression in its place would be worked out anew for each.
+    return F.when(F.length(x) >= 3, F.array_distinct(F.flatten(F.transform(F.array(F.split(x, "")), grams)))).otherwise(F.array().cast("array<string>"))
 
 
 def required_trigrams(pattern: str) -> list[str]:
@@ -120,9 +126,13 @@ def required_trigrams(pattern: str) -> list[str]:
     return sorted({p[k : k + 3] for p in parts for k in range(len(p) - 2)})
 
 
-def trigram_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(gram, id): the index table, to be written with io.write_sorted by gram."""
-    return docs.select(F.explode(trigrams(text_col)).alias("gram"), F.col(id_col))
+def trigram_index(docs: DataFrame, id_col: str, text_col: str, grams: list[str] | None = None) -> DataFrame:
+    """(gram, id): the index table, to be written with io.write_sorted by gram.
+
+    With grams, only its rows of these: for one search that has no table to read.
+    """
+    found = trigrams(text_col) if grams is None else F.array_compact(F.array(*[F.when(F.upper(F.col(text_col)).contains(g), g) for g in grams]).cast("array<string>"))
+    return docs.select(F.explode(found).alias("gram"), F.col(id_col))
 
 
 def like_search(docs: DataFrame, index: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:

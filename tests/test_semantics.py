@@ -285,6 +285,20 @@ def test_trigram_search(spark):
         assert values(text.like_search(docs, index, "id", "t", pattern).select("id")) == values(docs.where(strings.like(F.col("t"), pattern)).select("id"))
 
 
+def test_trigrams_take_time_in_proportion(spark):
+    long = "".join(chr(65 + (k * k + k // 7) % 53) for k in range(150_000)) + "license Äß\U0001f600é the"
+    docs = spark.createDataFrame([(1, long), (2, "ab"), (3, None), (4, "aﬁé\U0001f600x")], "id int, t string")
+    began = time.time()
+    found = {r[0]: r[1] for r in docs.select("id", text.trigrams("t")).collect()}
+    assert time.time() - began < 30
+    upper = long.upper()
+    assert set(found[1]) == {upper[k : k + 3] for k in range(len(upper) - 2)} and len(found[1]) == len(set(found[1]))
+    assert found[2] == [] and found[3] == [] and found[4] == ["AFI", "FIÉ", "IÉ\U0001f600", "É\U0001f600X"]
+    grams = text.required_trigrams("%license%the%")
+    assert values(text.trigram_index(docs, "id", "t", grams)) == values(text.trigram_index(docs, "id", "t").where(F.col("gram").isin(grams)))
+    assert text.trigram_index(docs, "id", "t", []).count() == 0
+
+
 def test_ddl(spark):
     spark.range(10).createOrReplaceTempView("ddl_base")
     ddl.execute(spark, "CREATE VIEW ddl_view (k, h) AS SELECT id, id / 4 FROM ddl_base WHERE id > 4")
