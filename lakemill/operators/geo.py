@@ -7,6 +7,7 @@ Predicates on shapes are Arrow-batched and evaluated in numpy.
 from __future__ import annotations
 
 import json
+import math
 import re
 import struct
 
@@ -41,20 +42,27 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def dwithin_join(left: DataFrame, right: DataFrame, lon: str, lat: str, lon2: str, lat2: str, metres: float) -> DataFrame:
     """Pairs of points at most so far apart.
 
-    Points meet in cells of latitude and longitude as high and wide as the
-    distance (wider towards the poles), one side in its own and the neighbouring
-    cells, so the join is on equal cells with a recheck.
+    Points meet in cells half the distance high and about as wide in metres, so
+    that cells towards the poles hold no more of the surface than others.  The
+    left side is in its own cells, the right side (take the smaller table) in all
+    that a circle around it can touch; the join is on equal cells with a recheck.
     """
-    step = max(metres / 111_000, 1e-6)
-    band = lambda y: F.floor(_col(y) / step)
-    # The width of a band's cells holds for the band and both its neighbours.
-    width = lambda b: F.lit(step) / F.greatest(F.cos(F.radians(F.least((F.abs(b) + 2) * step, F.lit(89.9)))), F.lit(1e-3))
-    columns = lambda b: F.greatest(F.floor(F.lit(360.0) / width(b)), F.lit(1))
-    cell = lambda x, b: F.pmod(F.floor((_col(x) + 180) / (F.lit(360.0) / columns(b))), columns(b))
-    a = left.withColumn("__band", band(lat)).withColumn("__cell", cell(lon, F.col("__band")))
-    b = right.withColumn("__band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: band(lat2) + d)))
-    b = b.withColumn("__cell", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(cell(lon2, F.col("__band")) + d, columns(F.col("__band"))))))) 
-    met = a.join(b, ["__band", "__cell"]).withColumn("distance", haversine(lon, lat, lon2, lat2))
+    reach = math.degrees(metres / RADIUS) * (1 + 1e-9) + 1e-9
+    step = max(reach / 2, 1e-6)
+    band = lambda y: F.floor(y / step)
+    # So many cells round the earth, in all bands that a place may be in.
+    columns = lambda b: F.greatest(F.floor(F.lit(360.0 / step) * F.cos(F.radians(F.least(F.abs((b + 0.5) * step), F.lit(90.0))))), F.lit(1))
+    cell = lambda x, b: F.floor((x + 180) / (F.lit(360.0) / columns(b)))
+    a = left.withColumn("__band", band(_col(lat))).withColumn("__cell", F.pmod(cell(_col(lon), F.col("__band")), columns(F.col("__band"))))
+    # A place that isn't a number is near none.
+    b = right.where(~F.isnan(_col(lat2)) & ~F.isnan(_col(lon2))).withColumn("__band", F.explode(F.sequence(band(_col(lat2) - reach), band(_col(lat2) + reach))))
+    # A circle is widest so many degrees from its middle; one around a pole has all of them.
+    wide = F.when(F.abs(_col(lat2)) + reach >= 90, F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(F.lit(math.sin(math.radians(min(reach, 90.0)))) / F.cos(F.radians(_col(lat2))), F.lit(1.0)))) * (1 + 1e-9) + 1e-9)
+    n, low, high = columns(F.col("__band")), cell(_col(lon2) - F.col("__wide"), F.col("__band")), cell(_col(lon2) + F.col("__wide"), F.col("__band"))
+    cells = F.when(high - low + 1 >= n, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.sequence(F.pmod(low, n), F.pmod(low, n) + high - low))
+    b = b.withColumn("__wide", wide).withColumn("__cell", F.explode(cells)).withColumn("__cell", F.pmod("__cell", n)).drop("__wide")
+    # Many pairs come of few bytes, so cells are dealt out before they meet.
+    met = spread(a, "__band", "__cell").join(b, ["__band", "__cell"]).withColumn("distance", haversine(lon, lat, lon2, lat2))
     return met.where(F.col("distance") <= metres).drop("__band", "__cell")
 
 

@@ -168,6 +168,18 @@ def test_geo(spark):
     assert geo.dwithin_join(left, right, "x", "y", "u", "v", 30_000).count() == 1
 
 
+def test_dwithin_join_finds_what_all_pairs_have(spark):
+    nan = float("nan")
+    at = [(-180 + 37.3 * k % 360, -90 + 17.9 * k % 180) for k in range(80)] + [(-180 + 41.7 * k % 360, 84 + 0.37 * k % 6) for k in range(80)]
+    at += [(x, y) for x in (-180.0, 180.0, 179.99, -179.99) for y in (90.0, -90.0, 0.0, 60.0, 89.99)] + [(None, 1.0), (1.0, None), (nan, 1.0), (1.0, nan)]
+    a = spark.createDataFrame([(k, *p) for k, p in enumerate(at)], "i int, x double, y double")
+    b = a.toDF("j", "u", "v")
+    apart = a.crossJoin(b).select("i", "j", geo.haversine("x", "y", "u", "v").alias("d")).collect()
+    for metres in (0, 1000, 300_000, 9_000_000, 20_000_000):
+        want = sorted((r.i, r.j) for r in apart if r.d is not None and r.d <= metres)
+        assert sorted(map(tuple, geo.dwithin_join(a, b, "x", "y", "u", "v", metres).select("i", "j").collect())) == want
+
+
 def test_changes(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, s string")
     ours = spark.createDataFrame([(1, "a"), (2, "B")], "id int, s string")
@@ -272,7 +284,7 @@ def test_shape_join_judges_equal_shapes_once(spark):
 
 
 def test_shape_queries_use_many_tasks(spark):
-    for name in ("geo_shapes", "geo_shape_join"):
+    for name in ("geo_shapes", "geo_shape_join", "geo_dwithin"):
         plan = operators.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "Repartition" in plan
 
